@@ -2,5 +2,586 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmesh.functions import text as tx
+from quillmesh.functions import vectors as vx
+from quillmesh.operators import drift, embed, export, extract, graph, project, resolve, review
+from quillmesh.operators.components import connected_components
+from quillmesh.plans.lineage import cut
+from quillmesh.plans.relations import decisions, mentions, nation_trade, nations, read, trade, traders
+from quillmesh.schemas import EmbeddingConfig
+from quillmesh.sources import sinks, tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+#: Small walks, for the queries over the nation graph.
+WALKS = EmbeddingConfig(dimensions=16, walk_length=8, num_walks=4)
+VECTOR_THRESHOLD = 0.3
+
+TRADE = """WITH trade AS (
+  SELECT l_orderkey || '-' || l_linenumber AS edge_id, 'C' || lpad(o_custkey::VARCHAR, 9, '0') AS s, 'S' || lpad(l_suppkey::VARCHAR, 9, '0') AS t,
+         l_returnflag AS relation_type, l_quantity AS weight, l_orderkey * 100 + l_linenumber AS seq, o_orderdate::DATE AS report_date,
+         year(o_orderdate)::VARCHAR AS slice_id, o_custkey, l_suppkey
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+NATION = (
+    TRADE
+    + """, rel AS (
+  SELECT edge_id, 'N' || lpad(c_nationkey::VARCHAR, 2, '0') AS s, 'N' || lpad(s_nationkey::VARCHAR, 2, '0') AS t, weight, seq, report_date, slice_id
+  FROM trade JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON l_suppkey = s_suppkey WHERE weight >= 50),
+edges AS (SELECT slice_id, least(s, t) AS u, greatest(s, t) AS v, sum(weight) AS weight, arg_min(edge_id, seq) AS edge_id, arg_min(report_date, seq) AS report_date FROM rel GROUP BY 1, 2, 3),
+nodes AS (SELECT DISTINCT slice_id, unnest([s, t]) AS entity_id FROM rel),
+arcs AS (SELECT slice_id, u AS e, v AS n FROM edges UNION SELECT slice_id, v, u FROM edges),
+steps AS (SELECT slice_id AS p, lead(slice_id) OVER (ORDER BY slice_id) AS c FROM (SELECT DISTINCT slice_id FROM nodes)),
+pairs AS (SELECT p, c, a.entity_id AS e FROM steps JOIN nodes a ON a.slice_id = p JOIN nodes b ON b.slice_id = c AND b.entity_id = a.entity_id)"""
+)
+DRIFT = (
+    NATION
+    + """, sizes AS (SELECT slice_id, e, count(*) AS k FROM arcs GROUP BY 1, 2),
+common AS (SELECT p, c, x.e, count(*) AS k FROM steps JOIN arcs x ON x.slice_id = p JOIN arcs y ON y.slice_id = c AND y.e = x.e AND y.n = x.n GROUP BY 1, 2, 3),
+drift AS (
+  SELECT pairs.p AS slice_id_prev, pairs.c AS slice_id_curr, pairs.e AS entity_id,
+         round(CASE WHEN coalesce(a.k, 0) + coalesce(b.k, 0) = 0 THEN 0.0 ELSE 1 - coalesce(common.k, 0) / (coalesce(a.k, 0) + coalesce(b.k, 0) - coalesce(common.k, 0)) END, 6) AS neighbor_drift
+  FROM pairs LEFT JOIN sizes a ON a.slice_id = pairs.p AND a.e = pairs.e LEFT JOIN sizes b ON b.slice_id = pairs.c AND b.e = pairs.e
+  LEFT JOIN common ON common.p = pairs.p AND common.c = pairs.c AND common.e = pairs.e)"""
+)
+#: Shortest paths by walks of up to six steps, which reach all of a component of the nation graph.
+CENTRALITY = (
+    NATION
+    + ", plain AS (SELECT * FROM arcs WHERE e <> n), w1 AS (SELECT slice_id, e AS s, n AS v, 1::DOUBLE AS k FROM plain)"
+    + "".join(f", w{d} AS (SELECT w.slice_id, w.s, a.n AS v, sum(w.k) AS k FROM w{d - 1} w JOIN plain a ON a.slice_id = w.slice_id AND a.e = w.v GROUP BY 1, 2, 3)" for d in range(2, 7))
+    + ", walks AS ("
+    + " UNION ALL ".join(f"SELECT slice_id, s, v, {d} AS d, k FROM w{d}" for d in range(1, 7))
+    + """), paths AS (SELECT slice_id, s, v, min(d) AS d, arg_min(k, d) AS k FROM walks WHERE s <> v GROUP BY 1, 2, 3),
+between_ AS (SELECT a.slice_id, a.v AS e, sum(a.k * b.k / st.k) AS x FROM paths a JOIN paths b ON b.slice_id = a.slice_id AND b.s = a.v
+  JOIN paths st ON st.slice_id = a.slice_id AND st.s = a.s AND st.v = b.v WHERE a.s < b.v AND a.d + b.d = st.d GROUP BY 1, 2),
+counts AS (SELECT slice_id, count(*) AS n FROM nodes GROUP BY 1),
+centrality AS (SELECT nodes.slice_id, nodes.entity_id, CASE WHEN n > 2 THEN coalesce(x, 0) * 2 / ((n - 1) * (n - 2)) ELSE 0.0 END AS betweenness
+  FROM nodes JOIN counts USING (slice_id) LEFT JOIN between_ ON between_.slice_id = nodes.slice_id AND between_.e = nodes.entity_id)"""
+)
+MENTIONS = """WITH m AS (
+  SELECT 'M' || lpad(vec_id::VARCHAR, 9, '0') AS id, 'D' || (vec_id % 97) AS doc_id, coalesce(p_name, '') AS form, 'T' || label AS type, [x::DOUBLE FOR x IN embedding] AS v
+  FROM embeddings LEFT JOIN part ON p_partkey = vec_id),
+spread AS (SELECT form, type, count(DISTINCT doc_id) AS n FROM m GROUP BY 1, 2),
+scored AS (SELECT a.id AS ida, b.id AS idb, list_cosine_similarity(a.v, b.v) AS cosine, sa.n AS docs_a, sb.n AS docs_b,
+    CASE WHEN a.form = b.form THEN 1.0 WHEN length(a.form) = 0 OR length(b.form) = 0 THEN 0.0 ELSE 1 - levenshtein(a.form, b.form) / greatest(length(a.form), length(b.form)) END AS lexical,
+    list_distinct(string_split(lower(a.form), ' ')) AS ta, list_distinct(string_split(lower(b.form), ' ')) AS tb, a.form AS fa, b.form AS fb
+  FROM m a JOIN m b ON a.type = b.type AND a.id < b.id JOIN spread sa ON sa.form = a.form AND sa.type = a.type JOIN spread sb ON sb.form = b.form AND sb.type = b.type),
+pairs AS (SELECT *, least(0.7 * cosine + 0.3 * lexical, 1.0) AS raw FROM scored WHERE least(0.7 * cosine + 0.3 * lexical, 1.0) >= 0.3)"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, and its SQL where SQL can express it."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def six(name: str, alias: str | None = None):
+    return F.round(name, 6).alias(alias or name)
+
+
+def _nation_slices(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the nation graph, written once: every signal reads them, and they are far smaller than the line items."""
+    nodes, edges = graph.build_slices(nations(spark, d), nation_trade(spark, d))
+    return cut(nodes), cut(edges)
+
+
+def _neighbor_scores(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _nation_slices(spark, d)
+    return drift.neighbor_drift(drift.scored_entities(nodes), edges).select(*drift.SCORE_KEYS, six("neighbor_drift"))
+
+
+# Graph and slices -------------------------------------------------------------------
+
+
+@query(DRIFT + " SELECT * FROM drift ORDER BY neighbor_drift DESC, slice_id_prev, entity_id LIMIT 20")
+def top_drifters(spark, d):
+    return drift.top_drifters(_neighbor_scores(spark, d), 20, score="neighbor_drift")
+
+
+@query(DRIFT + " SELECT * FROM drift")
+def neighbor_drift(spark, d):
+    return _neighbor_scores(spark, d)
+
+
+@query(DRIFT + " SELECT * FROM drift WHERE slice_id_prev = '1996' AND slice_id_curr = '1997' ORDER BY neighbor_drift DESC, slice_id_prev, entity_id LIMIT 10")
+def top_drifters_of_transition(spark, d):
+    return drift.top_drifters(_neighbor_scores(spark, d), 10, "1996->1997", "neighbor_drift")
+
+
+@query(DRIFT + " SELECT slice_id_prev || '->' || slice_id_curr AS transition, round(avg(neighbor_drift), 5) AS avg_score, max(neighbor_drift) AS max_score, min(neighbor_drift) AS min_score FROM drift GROUP BY 1")
+def drift_by_transition(spark, d):
+    found = export.drift_by_transition(_neighbor_scores(spark, d), "neighbor_drift")
+    return found.withColumn("avg_score", F.round("avg_score", 5))
+
+
+STEPS = [f"{y}->{y + 1}" for y in range(1995, 2001)]
+_PIVOT = ", ".join(f"""coalesce(max(neighbor_drift) FILTER (WHERE slice_id_prev || '->' || slice_id_curr = '{s}'), 0.0) AS "{s}\"""" for s in STEPS)
+
+
+@query(DRIFT + f" SELECT entity_id, {_PIVOT} FROM drift GROUP BY 1")
+def drift_pivot(spark, d):
+    return export.drift_matrix(_neighbor_scores(spark, d), STEPS, "neighbor_drift")
+
+
+@query(DRIFT + f", wide AS (SELECT entity_id, {_PIVOT} FROM drift GROUP BY 1), maxed AS (SELECT *, greatest({', '.join(f'''"{s}"''' for s in STEPS)}) AS row_max FROM wide) SELECT *, round(least(row_max / 0.6, 1.0), 6) AS intensity FROM maxed ORDER BY row_max DESC, entity_id LIMIT 15")
+def drift_heatmap(spark, d):
+    wide = export.heatmap(_neighbor_scores(spark, d), STEPS, 15, "neighbor_drift")
+    return wide.withColumn("intensity", F.round(export.intensity(F.col("row_max")), 6))
+
+
+@query(DRIFT + " SELECT slice_id_prev, slice_id_curr, entity_id, neighbor_drift FROM drift QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY neighbor_drift DESC, slice_id_prev) = 1")
+def best_drift_by_entity(spark, d):
+    return export.best_by_entity(_neighbor_scores(spark, d), "neighbor_drift")
+
+
+@query(DRIFT + " SELECT entity_id, max(neighbor_drift) AS max_score FROM drift GROUP BY 1")
+def max_drift_by_entity(spark, d):
+    return export.max_by_entity(_neighbor_scores(spark, d), "neighbor_drift")
+
+
+@query(DRIFT + ", best AS (SELECT * FROM drift QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY neighbor_drift DESC, slice_id_prev) = 1) SELECT *, row_number() OVER (ORDER BY neighbor_drift DESC, entity_id)::INT AS rank FROM best ORDER BY rank LIMIT 10")
+def ranked_drifters(spark, d):
+    return export.ranked(export.best_by_entity(_neighbor_scores(spark, d), "neighbor_drift"), "neighbor_drift", 10, "entity_id")
+
+
+@query(DRIFT + ", top AS (SELECT entity_id FROM drift ORDER BY neighbor_drift DESC, slice_id_prev, entity_id LIMIT 10) SELECT DISTINCT entity_id FROM top")
+def highlighted_entities(spark, d):
+    return drift.top_drifters(_neighbor_scores(spark, d), 10, score="neighbor_drift").select("entity_id").distinct()
+
+
+@query(TRADE + ", e AS (SELECT DISTINCT slice_id, least(s, t) AS u, greatest(s, t) AS v FROM trade), n AS (SELECT DISTINCT slice_id, unnest([s, t]) AS x FROM trade) SELECT slice_id, nodes, coalesce(edges, 0) AS edges FROM (SELECT slice_id, count(*) AS nodes FROM n GROUP BY 1) LEFT JOIN (SELECT slice_id, count(*) AS edges FROM e GROUP BY 1) USING (slice_id)")
+def slice_stats(spark, d):
+    return graph.slice_stats(*graph.build_slices(traders(spark, d), trade(spark, d)))
+
+
+@query(TRADE + ", e AS (SELECT DISTINCT slice_id, least(s, t) AS u, greatest(s, t) AS v FROM trade) SELECT slice_id, count(*) AS edges FROM e GROUP BY 1 ORDER BY 1")
+def edges_per_year(spark, d):
+    return graph.merge_edges(trade(spark, d)).groupBy("slice_id").agg(F.count("*").alias("edges")).orderBy("slice_id")
+
+
+@query(TRADE + " SELECT slice_id, least(s, t) AS u, greatest(s, t) AS v, sum(weight) AS weight, arg_min(edge_id, seq) AS edge_id, arg_min(report_date, seq) AS report_date FROM trade GROUP BY 1, 2, 3")
+def edge_merge(spark, d):
+    return graph.merge_edges(trade(spark, d)).drop("relation_type", "source_doc_id")
+
+
+@query(TRADE + ", x AS (SELECT slice_id, unnest([s, t]) AS entity_id FROM trade) SELECT slice_id, entity_id, count(*) AS degree FROM x GROUP BY 1, 2")
+def degree_raw(spark, d):
+    return graph.raw_degree(trade(spark, d))
+
+
+@query(TRADE + ", e AS (SELECT DISTINCT slice_id, s, t FROM trade), x AS (SELECT slice_id, unnest([s, t]) AS entity_id FROM e) SELECT slice_id, entity_id, count(*) AS degree FROM x GROUP BY 1, 2")
+def degree_simple(spark, d):
+    return graph.degree(graph.merge_edges(trade(spark, d)))
+
+
+@query(TRADE + ", x AS (SELECT slice_id, unnest([s, t]) AS e FROM trade), g AS (SELECT count(*) AS k FROM x GROUP BY slice_id, e) SELECT greatest(coalesce(max(k), 1), 1) AS max_degree FROM g")
+def max_degree(spark, d):
+    return graph.max_degree(graph.raw_degree(trade(spark, d)))
+
+
+@query(NATION + " SELECT slice_id, e AS entity_id, string_agg(n, ',' ORDER BY n) AS neighbors FROM arcs GROUP BY 1, 2")
+def neighbour_sets(spark, d):
+    return graph.neighbours(_nation_slices(spark, d)[1]).withColumn("neighbors", F.concat_ws(",", "neighbors"))
+
+
+_TRADERS_IN = TRADE + ", x AS (SELECT DISTINCT slice_id, unnest([s, t]) AS entity_id FROM trade)"
+
+
+@query(_TRADERS_IN + " SELECT entity_id FROM x GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT slice_id) FROM x)")
+def stable_entities(spark, d):
+    return graph.stable_entities(graph.build_slices(traders(spark, d), trade(spark, d))[0])
+
+
+@query(_TRADERS_IN + " SELECT DISTINCT entity_id FROM x")
+def union_entities(spark, d):
+    return graph.union_entities(graph.build_slices(traders(spark, d), trade(spark, d))[0])
+
+
+@query(
+    _TRADERS_IN
+    + """, steps AS (SELECT slice_id AS p, lead(slice_id) OVER (ORDER BY slice_id) AS c FROM (SELECT DISTINCT slice_id FROM x)),
+a AS (SELECT p, c, entity_id FROM steps JOIN x ON slice_id = p WHERE c IS NOT NULL), b AS (SELECT p, c, entity_id FROM steps JOIN x ON slice_id = c)
+SELECT coalesce(a.p, b.p) AS slice_id_prev, coalesce(a.c, b.c) AS slice_id_curr, count(*) FILTER (a.p IS NOT NULL AND b.p IS NOT NULL) AS kept,
+  count(*) FILTER (b.p IS NULL) AS prev_only, count(*) FILTER (a.p IS NULL) AS curr_only FROM a FULL JOIN b ON a.p = b.p AND a.c = b.c AND a.entity_id = b.entity_id GROUP BY 1, 2"""
+)
+def entity_churn(spark, d):
+    return drift.churn(graph.build_slices(traders(spark, d), trade(spark, d))[0])
+
+
+def _solvent(spark, d):
+    return traders(spark, d).where("balance > 0")
+
+
+_SOLVENT = TRADE + ", ok AS (SELECT 'C' || lpad(c_custkey::VARCHAR, 9, '0') AS id FROM customer WHERE c_acctbal > 0 UNION SELECT 'S' || lpad(s_suppkey::VARCHAR, 9, '0') FROM supplier WHERE s_acctbal > 0)"
+
+
+@query(_SOLVENT + " SELECT edge_id, s AS source_entity_id, t AS target_entity_id FROM trade WHERE s NOT IN (SELECT id FROM ok) OR t NOT IN (SELECT id FROM ok)")
+def orphan_edges(spark, d):
+    return graph.orphan_edges(_solvent(spark, d), trade(spark, d)).select("edge_id", "source_entity_id", "target_entity_id")
+
+
+@query(_SOLVENT + " SELECT edge_id, s AS source_entity_id, t AS target_entity_id FROM trade WHERE s IN (SELECT id FROM ok) AND t IN (SELECT id FROM ok)")
+def valid_edges(spark, d):
+    return graph.known_edges(_solvent(spark, d), trade(spark, d)).select("edge_id", "source_entity_id", "target_entity_id")
+
+
+@query(_SOLVENT + " SELECT least(s, t) AS u, greatest(s, t) AS v, sum(weight) AS weight FROM trade WHERE s IN (SELECT id FROM ok) AND t IN (SELECT id FROM ok) GROUP BY 1, 2")
+def lenient_graph(spark, d):
+    return graph.build_graph_lenient(_solvent(spark, d), trade(spark, d).drop("slice_id"))[1].select("u", "v", "weight")
+
+
+@query(
+    _SOLVENT
+    + """, n AS (SELECT DISTINCT slice_id, unnest([s, t]) AS id FROM trade), e AS (SELECT DISTINCT slice_id, s, t FROM trade WHERE s IN (SELECT id FROM ok) AND t IN (SELECT id FROM ok)), x AS (SELECT DISTINCT slice_id, unnest([s, t]) AS id FROM e)
+SELECT slice_id, count(*) AS isolated FROM n WHERE id IN (SELECT id FROM ok) AND (slice_id, id) NOT IN (SELECT (slice_id, id) FROM x) GROUP BY 1"""
+)
+def isolated_nodes(spark, d):
+    nodes, edges = graph.build_slices(_solvent(spark, d), trade(spark, d))
+    ends = edges.select("slice_id", F.explode(F.array("u", "v")).alias("entity_id")).distinct()
+    return nodes.join(ends, ["slice_id", "entity_id"], "left_anti").groupBy("slice_id").agg(F.count("*").alias("isolated"))
+
+
+@query("""SELECT c_mktsegment AS entity_type, count(*) FILTER (c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal >= 0) AS valid, count(*) FILTER (NOT (c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal >= 0)) AS rejected FROM customer GROUP BY 1""")
+def node_validation(spark, d):
+    kinds = F.when(F.col("c_mktsegment") == "BUILDING", "ORG").when(F.col("c_mktsegment") == "MACHINERY", "PERSON").otherwise("PLANET")
+    rows = read(spark, d, "customer").select(
+        F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("entity_label"), kinds.alias("entity_type"), F.col("c_mktsegment"),
+        F.lit("2000-01-02").alias("first_seen"), F.when(F.col("c_acctbal") >= 0, "2000-01-02").otherwise("2000-01-01").alias("last_seen"),
+    )
+    good, bad = tables.nodes_from(rows)
+    names = rows.select(F.col("entity_id").cast("string").alias("entity_id"), "c_mktsegment")
+    both = good.select("entity_id", F.lit(1).alias("ok")).union(bad.select("entity_id", F.lit(0).alias("ok"))).join(names, "entity_id")
+    return both.groupBy(F.col("c_mktsegment").alias("entity_type")).agg(F.count_if(F.col("ok") == 1).alias("valid"), F.count_if(F.col("ok") == 0).alias("rejected"))
+
+
+@query("SELECT count(*) FILTER (l_quantity - 10 > 0) AS valid, count(*) FILTER (l_quantity - 10 <= 0) AS rejected FROM lineitem")
+def edge_validation(spark, d):
+    rows = read(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("source_entity_id"), F.col("l_suppkey").alias("target_entity_id"), F.col("l_returnflag").alias("relation_type"),
+        (F.col("l_quantity") - 10).alias("weight"), F.lit("x").alias("source_doc_id"), F.col("l_shipdate").alias("report_date"),
+    )
+    good, bad = tables.edges_from(rows)
+    return good.select(F.lit(1).alias("ok")).union(bad.select(F.lit(0).alias("ok"))).agg(F.count_if(F.col("ok") == 1).alias("valid"), F.count_if(F.col("ok") == 0).alias("rejected"))
+
+
+@query(CENTRALITY + " SELECT slice_id, entity_id, round(betweenness, 6) AS betweenness FROM centrality")
+def betweenness(spark, d):
+    return graph.betweenness(*_nation_slices(spark, d)).withColumn("betweenness", F.round("betweenness", 6))
+
+
+_CENTRALITY_DRIFT = CENTRALITY + ", moved AS (SELECT p AS slice_id_prev, c AS slice_id_curr, pairs.e AS entity_id, abs(b.betweenness - a.betweenness) AS centrality_drift FROM pairs JOIN centrality a ON a.slice_id = p AND a.entity_id = pairs.e JOIN centrality b ON b.slice_id = c AND b.entity_id = pairs.e)"
+
+
+@query(_CENTRALITY_DRIFT + " SELECT slice_id_prev, slice_id_curr, entity_id, round(centrality_drift, 6) AS centrality_drift, centrality_drift >= 0.05 AS is_bridge FROM moved")
+def bridge_alerts(spark, d):
+    nodes, edges = _nation_slices(spark, d)
+    moved = drift.centrality_drift(drift.scored_entities(nodes), graph.betweenness(nodes, edges))
+    return drift.bridge_alerts(moved, 0.05).withColumn("centrality_drift", F.round("centrality_drift", 6))
+
+
+@query()
+def communities(spark, d):
+    return graph.communities(*_nation_slices(spark, d))
+
+
+@query()
+def community_drift(spark, d):
+    nodes, edges = _nation_slices(spark, d)
+    return drift.community_drift(drift.scored_entities(nodes), graph.communities(nodes, edges))
+
+
+@query()
+def random_walks(spark, d):
+    return graph.random_walks(*_nation_slices(spark, d), WALKS)
+
+
+@query()
+def node_embeddings(spark, d):
+    return graph.node_embeddings(*_nation_slices(spark, d), WALKS)
+
+
+@query()
+def drift_scores(spark, d):
+    nodes, edges = _nation_slices(spark, d)
+    return drift.score_all(nodes, edges, graph.node_embeddings(nodes, edges, WALKS))
+
+
+@query()
+def drift_summary(spark, d):
+    return export.run_summary(drift_scores(spark, d))
+
+
+@query()
+def projected_points(spark, d):
+    nodes, edges = _nation_slices(spark, d)
+    scores = _neighbor_scores(spark, d).withColumnRenamed("neighbor_drift", "composite_score")
+    return project.with_scores(project.project(graph.node_embeddings(nodes, edges, WALKS)), scores, nodes)
+
+
+@query(
+    NATION.replace("WITH trade", "WITH RECURSIVE trade", 1)
+    + ", reach AS (SELECT slice_id, entity_id AS x, entity_id AS y FROM nodes UNION SELECT r.slice_id, r.x, a.n FROM reach r JOIN arcs a ON a.slice_id = r.slice_id AND a.e = r.y) SELECT slice_id || x AS node, slice_id || min(y) AS component FROM reach GROUP BY slice_id, x"
+)
+def components(spark, d):
+    edges = _nation_slices(spark, d)[1]
+    return connected_components(edges.select(F.concat("slice_id", "u").alias("src"), F.concat("slice_id", "v").alias("dst")))
+
+
+@query(
+    NATION.replace("WITH trade", "WITH RECURSIVE trade", 1)
+    + ", reach AS (SELECT slice_id, entity_id AS x, entity_id AS y FROM nodes UNION SELECT r.slice_id, r.x, a.n FROM reach r JOIN arcs a ON a.slice_id = r.slice_id AND a.e = r.y), comp AS (SELECT slice_id, x, min(y) AS c FROM reach GROUP BY 1, 2), k AS (SELECT slice_id, c, count(*) AS k FROM comp GROUP BY 1, 2) SELECT slice_id, max(k) / sum(k) AS share FROM k GROUP BY 1"
+)
+def largest_component(spark, d):
+    return graph.largest_component_share(*_nation_slices(spark, d))
+
+
+@query(TRADE + ", deg AS (SELECT unnest([s, t]) AS e, count(*) AS degree FROM trade WHERE slice_id = '1997' GROUP BY 1), names AS (SELECT 'C' || lpad(c_custkey::VARCHAR, 9, '0') AS e, c_name AS label, 'ORG' AS kind FROM customer UNION ALL SELECT 'S' || lpad(s_suppkey::VARCHAR, 9, '0'), s_name, 'VESSEL' FROM supplier) SELECT e AS entity_id, coalesce(label, e) AS label, coalesce(kind, 'ORG') AS entity_type, 0.0 AS drift, degree, round(5 + degree / (SELECT max(degree) FROM deg) * 12, 6) AS radius, degree >= 2 AS shows_label, false AS glows FROM deg LEFT JOIN names USING (e)")
+def node_frame(spark, d):
+    none = _neighbor_scores(spark, d).withColumnRenamed("neighbor_drift", "composite_score").where("false")
+    return export.node_frame(trade(spark, d), traders(spark, d), none, "1997").withColumn("radius", F.round("radius", 6))
+
+
+@query(NATION + ", x AS (SELECT slice_id, e, count(*) AS k FROM arcs GROUP BY 1, 2) SELECT e AS entity_id, count(*) AS points, min(slice_id) AS first_slice, string_agg(slice_id || ':' || k, ',' ORDER BY slice_id) AS path FROM x GROUP BY 1 HAVING count(*) >= 2")
+def trajectories(spark, d):
+    deg = graph.neighbours(_nation_slices(spark, d)[1]).select("slice_id", "entity_id", F.size("neighbors").alias("x"), F.lit(0).alias("y"))
+    lines = export.trajectories(deg)
+    return lines.select("entity_id", F.size("path").cast("long").alias("points"), F.col("path")[0]["slice_id"].alias("first_slice"), F.concat_ws(",", F.transform("path", lambda p: F.concat(p["slice_id"], F.lit(":"), p["x"].cast("string")))).alias("path"))
+
+
+# Resolution --------------------------------------------------------------------------
+
+_LEXICAL = "WITH f AS (SELECT DISTINCT p_brand, p_name FROM part), j AS (SELECT a.p_brand AS brand, a.p_name AS fa, b.p_name AS fb FROM f a JOIN f b ON a.p_brand = b.p_brand AND a.p_name < b.p_name)"
+
+
+@query(_LEXICAL + ", s AS (SELECT *, 1 - levenshtein(fa, fb) / greatest(length(fa), length(fb)) AS x FROM j) SELECT brand, fa AS form_a, fb AS form_b, round(x, 6) AS lexical, len(list_intersect(string_split(fa, ' '), string_split(fb, ' ')))::INT AS shared FROM s WHERE x >= 0.7")
+def alias_lexical(spark, d):
+    forms = read(spark, d, "part").select(F.col("p_brand").alias("entity_type"), F.col("p_name").alias("normalized_form")).distinct()
+    pairs = resolve.pairs_of(forms, "normalized_form")
+    lexical = tx.levenshtein_similarity(F.col("a.normalized_form"), F.col("b.normalized_form"))
+    shared = F.size(F.array_intersect(tx.tokens(F.col("a.normalized_form")), tx.tokens(F.col("b.normalized_form"))))
+    scored = pairs.select(F.col("a.entity_type").alias("brand"), F.col("a.normalized_form").alias("form_a"), F.col("b.normalized_form").alias("form_b"), lexical.alias("x"), shared.alias("shared"))
+    return scored.where("x >= 0.7").select("brand", "form_a", "form_b", six("x", "lexical"), "shared")
+
+
+def _candidates(spark, d):
+    return resolve.generate_candidates(mentions(spark, d), VECTOR_THRESHOLD)
+
+
+@query(
+    MENTIONS
+    + """ SELECT sha256(ida || '|' || idb || '|v1') AS candidate_id, ida AS mention_id_a, idb AS mention_id_b, round(raw, 4) AS score, docs_a, docs_b,
+round(lexical, 4) AS lexical, round(len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))), 4) AS overlap,
+((cosine >= 0.75)::INT + (lower(fa) = lower(fb))::INT + (lexical >= 0.7)::INT + (len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) > 0.5)::INT + (docs_a > 1 OR docs_b > 1)::INT) AS said FROM pairs"""
+)
+def alias_candidates(spark, d):
+    e = F.col("evidence")
+    said = F.when(F.array_contains("reasons", resolve.REASONS["fallback"]), 0).otherwise(F.size("reasons"))
+    return _candidates(spark, d).select("candidate_id", "mention_id_a", "mention_id_b", "score", e["surface_a_doc_count"].alias("docs_a"), e["surface_b_doc_count"].alias("docs_b"), e["lexical_similarity"].alias("lexical"), e["token_overlap"].alias("overlap"), said.alias("said"))
+
+
+@query("WITH m AS (SELECT vec_id AS id, label AS type, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings) SELECT a.id AS id_a, b.id AS id_b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM m a JOIN m b ON a.type = b.type AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.3")
+def alias_vector(spark, d):
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("entity_type"), "embedding")
+    cosine = vx.cosine_similarity(F.col("a.embedding"), F.col("b.embedding"))
+    return resolve.pairs_of(rows, "id").select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), cosine.alias("x")).where("x >= 0.3").select("id_a", "id_b", six("x", "cosine"))
+
+
+@query(
+    MENTIONS.replace("WITH m", "WITH RECURSIVE m", 1)
+    + """, both_ AS (SELECT ida AS x, idb AS y FROM pairs UNION SELECT idb, ida FROM pairs), reach AS (SELECT x, x AS y FROM both_ UNION SELECT reach.x, both_.y FROM reach JOIN both_ ON reach.y = both_.x),
+comp AS (SELECT x, min(y) AS c FROM reach GROUP BY 1), mean AS (SELECT c, avg(round(raw, 4)) AS s FROM pairs JOIN comp ON x = ida GROUP BY 1)
+SELECT string_agg(x, ',' ORDER BY x) AS members, round(any_value(s), 3) AS cluster_score FROM comp JOIN mean USING (c) GROUP BY c"""
+)
+def alias_clusters(spark, d):
+    return resolve.build_clusters(_candidates(spark, d)).select(F.concat_ws(",", "member_mentions").alias("members"), F.round("cluster_score", 3).alias("cluster_score"))
+
+
+@query(MENTIONS + " SELECT form AS normalized_form, type AS entity_type, n AS n_docs FROM spread")
+def doc_spread(spark, d):
+    return resolve.doc_spread(mentions(spark, d))
+
+
+@query(MENTIONS + ", r AS (SELECT 'M000000003' AS id) SELECT ida AS mention_id_a, idb AS mention_id_b, round(raw, 4) AS score FROM pairs WHERE ida = 'M000000003' OR idb = 'M000000003'")
+def pairs_of_mention(spark, d):
+    return export.pairs_of_mention(_candidates(spark, d), "M000000003").select("mention_id_a", "mention_id_b", "score")
+
+
+@query(MENTIONS + " SELECT ida AS mention_id_a, idb AS mention_id_b, round(raw, 4) AS score, a.form AS surface_form_a, b.form AS surface_form_b, a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM pairs JOIN m a ON a.id = ida JOIN m b ON b.id = idb")
+def review_cards(spark, d):
+    return export.review_cards(_candidates(spark, d), mentions(spark, d)).select("mention_id_a", "mention_id_b", "score", "surface_form_a", "surface_form_b", "doc_id_a", "doc_id_b")
+
+
+@query("WITH q AS (SELECT [x::DOUBLE FOR x IN embedding] AS v FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_distance([x::DOUBLE FOR x IN embedding], q.v), 6) AS distance FROM embeddings, q ORDER BY list_distance([x::DOUBLE FOR x IN embedding], q.v), vec_id LIMIT 10")
+def vector_topk(spark, d):
+    rows = read(spark, d, "embeddings")
+    target = rows.where("vec_id = 0").select("embedding").first()[0]
+    return embed.nearest_mentions(rows, target, 10, key="vec_id").select("vec_id", six("distance"))
+
+
+@query("WITH m AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings), p AS (SELECT a.vec_id AS id, a.v AS x, b.v AS y FROM m a JOIN m b ON b.vec_id = a.vec_id + 1) SELECT id, round((1 - list_cosine_similarity(x, y)) / 2, 6) AS cosine_distance, round(list_distance(x, y), 6) AS l2 FROM p")
+def vector_distances(spark, d):
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
+    after = rows.select((F.col("id") - 1).alias("id"), F.col("x").alias("y"))
+    return rows.join(after, "id").select("id", F.round(vx.cosine_distance(F.col("x"), F.col("y")), 6).alias("cosine_distance"), F.round(vx.l2_distance(F.col("x"), F.col("y")), 6).alias("l2"))
+
+
+@query("SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 1 AND toxic <> 0) AS fp, count(*) FILTER (quality <> 1 AND toxic = 0) AS fn, count(*) FILTER (quality = 1 AND toxic = 0) / count(*) FILTER (quality = 1) AS precision FROM labels")
+def golden_precision(spark, d):
+    rows = read(spark, d, "labels").select((F.col("quality") == 1).alias("predicted"), (F.col("toxic") == 0).alias("truth"))
+    return resolve.golden_metrics(rows)
+
+
+# Review ------------------------------------------------------------------------------
+
+_DECISIONS = "WITH g AS (SELECT event_id AS seq, 'U' || user_id AS candidate_id, CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' WHEN 'click' THEN 'needs_review' ELSE 'pending' END AS decision FROM events), last AS (SELECT candidate_id, arg_max(decision, seq) AS status FROM g GROUP BY 1)"
+
+
+def _status(spark, d):
+    log = decisions(spark, d)
+    candidates = log.select("candidate_id", F.lit("pending").alias("status")).distinct()
+    return review.with_status(candidates, log, "seq")
+
+
+@query(_DECISIONS + " SELECT candidate_id, decision, seq FROM g QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY seq DESC) = 1")
+def decision_latest(spark, d):
+    return sinks.latest(decisions(spark, d), "candidate_id", "seq").select("candidate_id", "decision", "seq")
+
+
+@query(_DECISIONS + " SELECT candidate_id, status FROM last")
+def candidate_status(spark, d):
+    return _status(spark, d)
+
+
+@query(_DECISIONS + " SELECT candidate_id, status FROM last WHERE status = 'pending'")
+def pending_queue(spark, d):
+    return review.pending_queue(_status(spark, d))
+
+
+@query(_DECISIONS + " SELECT status, count(*) AS n FROM last WHERE status IN ('approved', 'pending', 'rejected') GROUP BY 1")
+def status_counts(spark, d):
+    return export.status_counts(_status(spark, d))
+
+
+@query(_DECISIONS + " SELECT candidate_id, CASE WHEN candidate_id LIKE '%7' THEN 'approved' ELSE status END AS status FROM last")
+def effective_status(spark, d):
+    now = _status(spark, d)
+    return review.effective_status(now, now.where("candidate_id LIKE '%7'").select("candidate_id", F.lit("approved").alias("local_status")))
+
+
+# Text, sources and sinks -------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '\n{3,}', E'\n\n', 'g'), '[ \t\r\f\v]+(\n|$)', '\1', 'g'), '^\s+|\s+$', '', 'g')) AS normal_sha, sha256(text) AS checksum FROM documents")
+def text_normalize(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.sha2(tx.normalize_page(F.col("text")), 256).alias("normal_sha"), F.sha2("text", 256).alias("checksum"))
+
+
+@query(r"SELECT page_id, sha256(html) AS checksum, sha256(html) = sha256(trim(html)) AS verified FROM pages")
+def doc_checksum(spark, d):
+    return read(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("checksum"), (F.sha2("html", 256) == F.sha2(F.trim("html"), 256)).alias("verified"))
+
+
+@query(r"WITH x AS (SELECT doc_id, text, instr(text, E'\n') - 1 AS s FROM documents WHERE instr(text, E'\n') > 0) SELECT doc_id, trim(replace(substring(text, greatest(s - 50, 0) + 1, s - greatest(s - 50, 0)), E'\n', ' ')) AS context_left, trim(replace(substring(text, s + 2, 50), E'\n', ' ')) AS context_right FROM x")
+def mention_context(spark, d):
+    rows = read(spark, d, "documents").withColumn("s", F.instr("text", "\n") - 1).where("s >= 0")
+    return rows.select("doc_id", tx.context_left(F.col("text"), F.col("s")).alias("context_left"), tx.context_right(F.col("text"), F.col("s") + 1).alias("context_right"))
+
+
+@query(r"WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,9}tion[ .,]')) AS f FROM documents) SELECT doc_id, 'LOCATION' AS entity_type, trim(f) AS normalized_form, count(*) AS n FROM x GROUP BY 1, 2, 3")
+def mention_extract(spark, d):
+    chunks = read(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    found = extract.extract_mentions(chunks, extract.pattern_extractor({"GPE": "[A-Z][a-z]{3,9}tion[ .,]"}), title=False)
+    return found.groupBy("doc_id", "entity_type", "normalized_form").agg(F.count("*").alias("n"))
+
+
+@query(r"WITH x AS (SELECT doc_id, unnest(string_split(text, E'\n')) AS t FROM documents) SELECT doc_id, count(*) AS pages, sum(length(regexp_replace(t, '^\s+|\s+$', '', 'g')))::BIGINT AS chars FROM x WHERE regexp_replace(t, '^\s+|\s+$', '', 'g') <> '' GROUP BY 1")
+def page_chunks(spark, d):
+    files = read(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    chunks = tables.parse_pages(files, F.col("doc_id"), "\n")
+    return chunks.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT source, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
+def text_lengths(spark, d):
+    return read(spark, d, "documents").groupBy("source").agg(F.sum(F.length("text")).alias("chars"))
+
+
+@query()
+def mention_search(spark, d):
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("mention_id"), F.lit("").alias("context_left"), F.col("p_name").alias("surface_form"), F.lit("").alias("context_right"), F.lit(None).cast("array<float>").alias("embedding"), F.lit("").alias("model_name"))
+    return embed.search(embed.embed_missing(rows), "blue ring", 10).select("mention_id", "surface_form", six("distance"))
+
+
+@query("SELECT doc_id, n_chars + 1 AS n_chars, 'new' AS batch FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, n_chars, 'old' FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0")
+def manifest_merge(spark, d):
+    docs = read(spark, d, "documents")
+    old = docs.where("doc_id % 2 = 0").select("doc_id", "n_chars", F.lit("old").alias("batch"))
+    return sinks.merged(old, docs.where("doc_id % 3 = 0").select("doc_id", (F.col("n_chars") + 1).alias("n_chars"), F.lit("new").alias("batch")), "doc_id")
+
+
+@query("SELECT doc_id, 'old' AS batch FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'seed' FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0")
+def manifest_seed(spark, d):
+    docs = read(spark, d, "documents")
+    return sinks.insert_absent(docs.where("doc_id % 2 = 0").select("doc_id", F.lit("old").alias("batch")), docs.where("doc_id % 3 = 0").select("doc_id", F.lit("seed").alias("batch")), "doc_id")
+
+
+@query("WITH s AS (SELECT CASE WHEN doc_id % 2 = 1 THEN 'fetched' WHEN doc_id % 3 = 0 THEN 'fetched' ELSE 'failed' END AS status FROM documents) SELECT status, count(*) AS n FROM s GROUP BY 1")
+def fetch_status(spark, d):
+    docs = read(spark, d, "documents")
+    manifest = docs.select(F.col("doc_id").cast("string").alias("local_path"), F.sha2("text", 256).alias("checksum"), F.when(F.col("doc_id") % 2 == 1, "fetched").otherwise("pending").alias("status"))
+    have = docs.where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("local_path"), F.sha2("text", 256).alias("checksum"))
+    return export.type_counts(sinks.fetch_status(manifest, have), "status")
+
+
+@query("SELECT lang AS entity_type, count(*) AS n FROM documents GROUP BY 1")
+def type_counts(spark, d):
+    return export.type_counts(read(spark, d, "documents").withColumnRenamed("lang", "entity_type"))
+
+
+@query("SELECT * FROM (SELECT count(*) AS total_entities FROM (SELECT c_custkey FROM customer UNION ALL SELECT s_suppkey FROM supplier)), (SELECT count(*) AS total_mentions FROM embeddings), (SELECT count(*) AS total_reports FROM documents), (SELECT count(DISTINCT year(o_orderdate)) AS network_slices FROM orders)")
+def kpi_summary(spark, d):
+    parts = [
+        traders(spark, d).agg(F.count("*").alias("total_entities")),
+        read(spark, d, "embeddings").agg(F.count("*").alias("total_mentions")),
+        read(spark, d, "documents").agg(F.count("*").alias("total_reports")),
+        read(spark, d, "orders").agg(F.countDistinct(F.year("o_orderdate")).alias("network_slices")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p))
+    return out
+
+
+@query("SELECT doc_id, CASE WHEN length(left(text, 60)) > 40 THEN left(text, 38) || '…' ELSE left(text, 60) END AS title, lang || '->' || source AS label FROM documents")
+def short_titles(spark, d):
+    return read(spark, d, "documents").select("doc_id", tx.short_title(F.left("text", F.lit(60))).alias("title"), tx.transition_label(F.col("lang"), F.col("source")).alias("label"))
+
+
+@query("SELECT conv_id, count(*) AS turns, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY 1")
+def conversation_pages(spark, d):
+    parts = F.sort_array(F.collect_list(F.struct("turn", "role")))
+    return read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.concat_ws(",", F.transform(parts, lambda x: x["role"])).alias("roles"))
+
+
+@query("SELECT o_orderdate::DATE AS report_date, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1")
+def report_timeline(spark, d):
+    return read(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("report_date")).agg(F.count("*").alias("n")).orderBy("report_date")
+
+
+@query("SELECT r_name, count(*) AS orders, sum(o_totalprice) > 0 AS positive FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE year(o_orderdate) = 1996 GROUP BY 1")
+def year_filter(spark, d):
+    rows = read(spark, d, "orders").where(F.year("o_orderdate") == 1996).join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.join(F.broadcast(read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy("r_name").agg(F.count("*").alias("orders"), (F.sum("o_totalprice") > 0).alias("positive"))
