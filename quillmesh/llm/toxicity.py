@@ -44,7 +44,8 @@ def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     at, what = [np.arange(len(words))], [whole]
     rolled = np.zeros(len(code), np.uint64)
     for n in range(1, LONGEST + 1):
-        rolled[: len(code) - n + 1] = rolled[: len(code) - n + 1] * _STEP + code[n - 1 :] + np.uint64(1)
+        m = max(len(code) - n + 1, 0)
+        rolled[:m] = rolled[:m] * _STEP + code[len(code) - m :] + np.uint64(1)
         if n >= SHORTEST:
             fits = np.flatnonzero(room >= n)
             at.append(owner[fits])
