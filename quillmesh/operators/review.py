@@ -17,7 +17,7 @@ def log_latest(decisions: DataFrame, order: str = "created_at") -> DataFrame:
 
 def with_status(candidates: DataFrame, decisions: DataFrame, order: str = "created_at") -> DataFrame:
     """Candidates with the status of their last decision, where there is one."""
-    last = decisions.groupBy("candidate_id").agg(F.max_by("decision", order).alias("__decision"))
+    last = decisions.groupBy("candidate_id").agg(F.max_by("decision", F.struct(order)).alias("__decision"))
     joined = candidates.join(last, "candidate_id", "left")
     return joined.withColumn("status", F.coalesce("__decision", "status")).select(candidates.columns)
 
