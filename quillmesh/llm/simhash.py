@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +65,7 @@ def ball_masks(bits: int, radius: int) -> np.ndarray:
 
 
 def _ball_size(bits: int, radius: int) -> int:
-    return 1 + (bits if radius > 0 else 0) + (bits * (bits - 1) // 2 if radius > 1 else 0)
+    return sum(comb(bits, r) for r in range(radius + 1))
 
 
 def _collisions(codes: np.ndarray, left: np.ndarray, bits: int):
@@ -77,7 +78,8 @@ def _collisions(codes: np.ndarray, left: np.ndarray, bits: int):
     """
     if len(codes) < 2:
         return
-    sizes = sum(_ball_size(bits, r) * int((left == r).sum()) for r in (0, 1, 2))
+    budgets = range(int(left.max()) + 1)
+    sizes = sum(_ball_size(bits, r) * int((left == r).sum()) for r in budgets)
     if sizes > EXPAND_BLOCK and bits:
         top = np.uint64(1) << np.uint64(bits - 1)
         for side in (np.uint64(0), top):
@@ -88,7 +90,7 @@ def _collisions(codes: np.ndarray, left: np.ndarray, bits: int):
         return
     low = np.uint64((1 << bits) - 1)
     parts, owners = [], []
-    for r in (0, 1, 2):
+    for r in budgets:
         rows = np.flatnonzero(left == r)
         if len(rows):
             masks = ball_masks(bits, r)
@@ -148,8 +150,8 @@ def ball_links(nodes: DataFrame, radius: int = 4, bucket_rows: int = 1024) -> Da
     verified collisions: at most one link a row, whatever the size of a group.
     """
     half = radius // 2
-    if half != 2 or radius % 2:
-        raise ValueError("balls are spelled out for a radius of 4")
+    if radius % 2:
+        raise ValueError("the radius is even: each side flips half of it")
     rows = nodes.count()
     prefix = int(np.clip(np.ceil(np.log2(max(rows, 1) / bucket_rows)), 4, 20))
     rest = BITS - prefix
@@ -206,8 +208,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_rows: int = 2_000_000, **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: that with the smallest id.
 
-    Of rows that repeat a kept id one stays; rows without an id stay unless their
-    group has a document with one. The texts are not shuffled unless the ids to
+    Of rows that repeat a kept id one stays; rows without an id all stay, as no id
+    names them. The texts are not shuffled unless the ids to
     drop exceed ``max_broadcast_rows`` (16 bytes each) or ids repeat.
     """
     groups = cut(near_duplicates(docs, id_col, text_col, **options))
