@@ -1 +1 @@
-
+"""Operators: frames in, frames out."""

@@ -50,13 +50,13 @@ drift AS (
   FROM pairs LEFT JOIN sizes a ON a.slice_id = pairs.p AND a.e = pairs.e LEFT JOIN sizes b ON b.slice_id = pairs.c AND b.e = pairs.e
   LEFT JOIN common ON common.p = pairs.p AND common.c = pairs.c AND common.e = pairs.e)"""
 )
-#: Shortest paths by walks of up to six steps, which reach all of a component of the nation graph.
+#: Shortest paths by walks of up to twelve steps, which span any component of the nation graph.
 CENTRALITY = (
     NATION
     + ", plain AS (SELECT * FROM arcs WHERE e <> n), w1 AS (SELECT slice_id, e AS s, n AS v, 1::DOUBLE AS k FROM plain)"
-    + "".join(f", w{d} AS (SELECT w.slice_id, w.s, a.n AS v, sum(w.k) AS k FROM w{d - 1} w JOIN plain a ON a.slice_id = w.slice_id AND a.e = w.v GROUP BY 1, 2, 3)" for d in range(2, 7))
+    + "".join(f", w{d} AS (SELECT w.slice_id, w.s, a.n AS v, sum(w.k) AS k FROM w{d - 1} w JOIN plain a ON a.slice_id = w.slice_id AND a.e = w.v GROUP BY 1, 2, 3)" for d in range(2, 13))
     + ", walks AS ("
-    + " UNION ALL ".join(f"SELECT slice_id, s, v, {d} AS d, k FROM w{d}" for d in range(1, 7))
+    + " UNION ALL ".join(f"SELECT slice_id, s, v, {d} AS d, k FROM w{d}" for d in range(1, 13))
     + """), paths AS (SELECT slice_id, s, v, min(d) AS d, arg_min(k, d) AS k FROM walks WHERE s <> v GROUP BY 1, 2, 3),
 between_ AS (SELECT a.slice_id, a.v AS e, sum(a.k * b.k / st.k) AS x FROM paths a JOIN paths b ON b.slice_id = a.slice_id AND b.s = a.v
   JOIN paths st ON st.slice_id = a.slice_id AND st.s = a.s AND st.v = b.v WHERE a.s < b.v AND a.d + b.d = st.d GROUP BY 1, 2),
@@ -402,10 +402,10 @@ def alias_vector(spark, d):
     MENTIONS.replace("WITH m", "WITH RECURSIVE m", 1)
     + """, both_ AS (SELECT ida AS x, idb AS y FROM pairs UNION SELECT idb, ida FROM pairs), reach AS (SELECT x, x AS y FROM both_ UNION SELECT reach.x, both_.y FROM reach JOIN both_ ON reach.y = both_.x),
 comp AS (SELECT x, min(y) AS c FROM reach GROUP BY 1), mean AS (SELECT c, avg(round(raw, 4)) AS s FROM pairs JOIN comp ON x = ida GROUP BY 1)
-SELECT string_agg(x, ',' ORDER BY x) AS members, round(any_value(s), 3) AS cluster_score FROM comp JOIN mean USING (c) GROUP BY c"""
+SELECT string_agg(x, ',' ORDER BY x) AS members, floor(round(any_value(s), 4) * 100 + 1e-6)::BIGINT AS percent FROM comp JOIN mean USING (c) GROUP BY c"""
 )
 def alias_clusters(spark, d):
-    return resolve.build_clusters(_candidates(spark, d)).select(F.concat_ws(",", "member_mentions").alias("members"), F.round("cluster_score", 3).alias("cluster_score"))
+    return resolve.build_clusters(_candidates(spark, d)).select(F.concat_ws(",", "member_mentions").alias("members"), F.floor(F.col("cluster_score") * 100 + 1e-6).alias("percent"))
 
 
 @query(MENTIONS + " SELECT form AS normalized_form, type AS entity_type, n AS n_docs FROM spread")

@@ -1 +1 @@
-
+"""Streams: none. The engine works on batches; slices are yearly batches and decisions merge by id."""
