@@ -173,7 +173,8 @@ def read_archives(index: DataFrame) -> DataFrame:
     Size and digest of a response are computed from the payload read and must equal
     its headers; those of a revisit come from its headers.
     """
-    ordered = index.repartition("file").sortWithinPartitions("file", "offset")
+    files = index.select("file").distinct().count()
+    ordered = index.repartition(max(1, files), "file").sortWithinPartitions("file", "offset")
 
     def read(batches):
         name, stream = None, None
