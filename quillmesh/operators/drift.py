@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import vectors as vx
 from quillmesh.operators import graph
+from quillmesh.plans.lineage import cut
 
 SCORE_KEYS = ("slice_id_prev", "slice_id_curr", "entity_id")
 
@@ -21,69 +22,78 @@ def transitions(slice_nodes: DataFrame) -> DataFrame:
     return pairs.where("slice_id_curr IS NOT NULL")
 
 
-def scored_entities(slice_nodes: DataFrame) -> DataFrame:
+def _tagged(df: DataFrame, steps: DataFrame) -> DataFrame:
+    """Every row of a slice once for each transition that the slice is part of; ``is_prev`` says as which side.
+
+    The steps are two rows a year and are broadcast, so nothing else moves: what follows
+    is one aggregate by transition and entity in place of a join for each side.
+    """
+    sides = steps.select(F.col("slice_id_prev").alias("slice_id"), *SCORE_KEYS[:2], F.lit(True).alias("is_prev"))
+    sides = sides.union(steps.select("slice_id_curr", *SCORE_KEYS[:2], F.lit(False)))
+    return df.join(F.broadcast(sides), "slice_id")
+
+
+def scored_entities(slice_nodes: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """Entities of both slices of each transition."""
-    steps = F.broadcast(transitions(slice_nodes))
-    here = slice_nodes.select("slice_id", "entity_id").distinct()
-    prev = here.join(steps, here.slice_id == steps.slice_id_prev).select(*SCORE_KEYS)
-    return prev.join(here.withColumnRenamed("slice_id", "slice_id_curr"), ["slice_id_curr", "entity_id"], "left_semi").select(*SCORE_KEYS)
+    rows = _tagged(slice_nodes.select("slice_id", "entity_id"), transitions(slice_nodes) if steps is None else steps)
+    both = rows.groupBy(*SCORE_KEYS).agg(F.bool_or("is_prev").alias("p"), F.bool_and("is_prev").alias("only_p"))
+    return both.where("p AND NOT only_p").select(*SCORE_KEYS)
 
 
-def _sides(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+def _steps_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(*SCORE_KEYS[:2]).distinct()
+
+
+def _sides(pairs: DataFrame, table: DataFrame, value: str, steps: DataFrame | None) -> DataFrame:
     """``pairs`` with ``value`` of both slices as ``prev`` and ``curr``, null where missing."""
-    out = pairs
-    for side in ("prev", "curr"):
-        right = table.select(F.col("slice_id").alias(f"slice_id_{side}"), "entity_id", F.col(value).alias(side))
-        out = out.join(right, [f"slice_id_{side}", "entity_id"], "left")
-    return out
+    rows = _tagged(table.select("slice_id", "entity_id", F.col(value).alias("value")), _steps_of(pairs) if steps is None else steps)
+    one = lambda side, name: F.first(F.when(side, F.col("value")), ignorenulls=True).alias(name)
+    values = rows.groupBy(*SCORE_KEYS).agg(one(F.col("is_prev"), "prev"), one(~F.col("is_prev"), "curr"))
+    return pairs.join(values, list(SCORE_KEYS), "left")
 
 
-def neighbor_drift(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+def neighbor_drift(pairs: DataFrame, edges: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """Jaccard distance of the neighbour sets; a node without edges has none.
 
-    Counts common neighbours by an equi-join on (entity, neighbour), so a hub's
-    neighbours spread over tasks and are never gathered.
+    Neighbours are counted by (transition, entity, neighbour) and then by (transition,
+    entity), both combined before the shuffle, so a hub's neighbours are never gathered.
     """
-    arcs = graph.arcs(edges)
-    size = arcs.groupBy("slice_id", "entity_id").agg(F.count("*").alias("n"))
-    steps = pairs.select("slice_id_prev", "slice_id_curr").distinct()
-    prev = arcs.join(F.broadcast(steps), arcs.slice_id == steps.slice_id_prev).drop("slice_id")
-    common = prev.join(arcs.withColumnRenamed("slice_id", "slice_id_curr"), ["slice_id_curr", "entity_id", "neighbor"])
-    common = common.groupBy(*SCORE_KEYS).agg(F.count("*").alias("common"))
-    both = _sides(pairs, size, "n").join(common, list(SCORE_KEYS), "left").fillna(0, ["prev", "curr", "common"])
-    union = F.col("prev") + F.col("curr") - F.col("common")
-    return both.select(*SCORE_KEYS, F.when(union == 0, 0.0).otherwise(1 - F.col("common") / union).alias("neighbor_drift"))
-
-
-def embedding_drift(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
+    rows = _tagged(graph.arcs(edges), _steps_of(pairs) if steps is None else steps)
+    seen = rows.groupBy(*SCORE_KEYS, "neighbor").agg(F.bool_or("is_prev").alias("p"), F.bool_or(~F.col("is_prev")).alias("c"))
+    counts = seen.groupBy(*SCORE_KEYS).agg(F.count_if(F.col("p") & F.col("c")).alias("common"), F.count("*").alias("union"))
+    both = pairs.join(counts, list(SCORE_KEYS), "left")
+    value = F.when(F.col("union").isNull(), 0.0).otherwise(1 - F.col("common") / F.col("union"))
+    return both.select(*SCORE_KEYS, value.alias("neighbor_drift"))
+
+
+def embedding_drift(pairs: DataFrame, embeddings: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """Cosine distance; 0.5 where one vector is missing and 0 where both are."""
-    both = _sides(pairs, embeddings, "embedding")
+    both = _sides(pairs, embeddings, "embedding", steps)
     one = F.col("prev").isNotNull() | F.col("curr").isNotNull()
     value = F.when(F.col("prev").isNotNull() & F.col("curr").isNotNull(), vx.clip(vx.cosine_distance(F.col("prev"), F.col("curr")))).when(one, 0.5).otherwise(0.0)
     return both.select(*SCORE_KEYS, value.alias("embedding_drift"))
 
 
-def centrality_drift(pairs: DataFrame, centrality: DataFrame) -> DataFrame:
+def centrality_drift(pairs: DataFrame, centrality: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """Absolute change of betweenness; a missing value is 0."""
-    both = _sides(pairs, centrality, "betweenness").fillna(0.0, ["prev", "curr"])
+    both = _sides(pairs, centrality, "betweenness", steps).fillna(0.0, ["prev", "curr"])
     return both.select(*SCORE_KEYS, vx.clip(F.abs(F.col("curr") - F.col("prev"))).alias("centrality_drift"))
 
 
-def community_drift(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+def community_drift(pairs: DataFrame, labels: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """1 where fewer than half of an entity's former companions share its community now, else 0.
 
     An entity that was alone has 0. Companions who left count against it. Members are
     counted by (transition, former community, present community), so a community of any size
     costs one row a member and no pairs.
     """
-    both = _sides(pairs, labels, "community").where("prev IS NOT NULL AND curr IS NOT NULL")
-    steps = pairs.select("slice_id_prev", "slice_id_curr").distinct()
-    former = labels.join(F.broadcast(steps), labels.slice_id == steps.slice_id_prev).select("slice_id_prev", "slice_id_curr", "entity_id", F.col("community").alias("prev"))
-    now = labels.select(F.col("slice_id").alias("slice_id_curr"), "entity_id", F.col("community").alias("curr"))
-    moved = former.join(now, ["slice_id_curr", "entity_id"], "left")
-    sizes = former.groupBy("slice_id_prev", "slice_id_curr", "prev").agg(F.count("*").alias("size"))
-    together = moved.groupBy("slice_id_prev", "slice_id_curr", "prev", "curr").agg(F.count("*").alias("together"))
-    joined = both.join(sizes, ["slice_id_prev", "slice_id_curr", "prev"]).join(together, ["slice_id_prev", "slice_id_curr", "prev", "curr"])
+    step = list(SCORE_KEYS[:2])
+    rows = _tagged(labels.select("slice_id", "entity_id", "community"), _steps_of(pairs) if steps is None else steps)
+    one = lambda side, name: F.first(F.when(side, F.col("community")), ignorenulls=True).alias(name)
+    moved = rows.groupBy(*SCORE_KEYS).agg(one(F.col("is_prev"), "prev"), one(~F.col("is_prev"), "curr")).where("prev IS NOT NULL")
+    together = moved.groupBy(*step, "prev", "curr").agg(F.count("*").alias("together"))
+    sizes = together.groupBy(*step, "prev").agg(F.sum("together").alias("size"))
+    joined = moved.where("curr IS NOT NULL").join(sizes, [*step, "prev"]).join(together, [*step, "prev", "curr"])
     value = F.when(F.col("size") <= 1, 0.0).when((F.col("together") - 1) / F.greatest(F.col("size") - 1, F.lit(1)) >= 0.5, 0.0).otherwise(1.0)
     found = joined.select(*SCORE_KEYS, value.alias("community_drift"))
     return pairs.join(found, list(SCORE_KEYS), "left").fillna(0.0, ["community_drift"])
@@ -96,10 +106,11 @@ def score_all(slice_nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, c
     """
     centrality = graph.betweenness(slice_nodes, edges) if centrality is None else centrality
     labels = graph.communities(slice_nodes, edges) if labels is None else labels
-    pairs = scored_entities(slice_nodes)
+    steps = cut(transitions(slice_nodes))
+    pairs = scored_entities(slice_nodes, steps)
     keys = list(SCORE_KEYS)
-    out = embedding_drift(pairs, embeddings).join(neighbor_drift(pairs, edges), keys)
-    out = out.join(centrality_drift(pairs, centrality), keys).join(community_drift(pairs, labels), keys)
+    out = embedding_drift(pairs, embeddings, steps).join(neighbor_drift(pairs, edges, steps), keys)
+    out = out.join(centrality_drift(pairs, centrality, steps), keys).join(community_drift(pairs, labels, steps), keys)
     return out.withColumn("composite_score", vx.composite(weights))
 
 
@@ -123,10 +134,7 @@ def bridge_alerts(scores: DataFrame, threshold: float = 0.3) -> DataFrame:
 
 def churn(slice_nodes: DataFrame) -> DataFrame:
     """Entities that each transition keeps, loses and gains."""
-    steps = F.broadcast(transitions(slice_nodes))
-    here = slice_nodes.select("slice_id", "entity_id").distinct()
-    prev = here.join(steps, here.slice_id == steps.slice_id_prev).select(*SCORE_KEYS, F.lit(1).alias("p"))
-    curr = here.join(steps, here.slice_id == steps.slice_id_curr).select(*SCORE_KEYS, F.lit(1).alias("c"))
-    both = prev.join(curr, list(SCORE_KEYS), "full_outer")
-    counts = [F.count_if(F.col("p").isNotNull() & F.col("c").isNotNull()).alias("kept"), F.count_if(F.col("c").isNull()).alias("prev_only"), F.count_if(F.col("p").isNull()).alias("curr_only")]
+    rows = _tagged(slice_nodes.select("slice_id", "entity_id"), transitions(slice_nodes))
+    both = rows.groupBy(*SCORE_KEYS).agg(F.bool_or("is_prev").alias("p"), F.bool_or(~F.col("is_prev")).alias("c"))
+    counts = [F.count_if(F.col("p") & F.col("c")).alias("kept"), F.count_if(~F.col("c")).alias("prev_only"), F.count_if(~F.col("p")).alias("curr_only")]
     return both.groupBy("slice_id_prev", "slice_id_curr").agg(*counts)

@@ -7,6 +7,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.plans.lineage import cut
+
 
 def _signed(points: DataFrame, axis: str) -> Column:
     """The axis turned so that its largest coordinate is positive."""
@@ -26,11 +28,13 @@ def project(embeddings: DataFrame, joint: bool = True) -> DataFrame:
         for p in parts[1:]:
             out = out.union(p)
         return out
+    embeddings = cut(embeddings.select("slice_id", "entity_id", "embedding"))
     rows = embeddings.select("slice_id", "entity_id", array_to_vector("embedding").alias("v"))
     if len(embeddings.limit(2).collect()) < 2:
         return embeddings.select("slice_id", "entity_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     model = PCA(k=2, inputCol="v", outputCol="p").fit(rows)
     points = model.transform(rows).withColumn("p", vector_to_array("p")).select("slice_id", "entity_id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    points = cut(points)
     return points.select("slice_id", "entity_id", _signed(points, "x").alias("x"), _signed(points, "y").alias("y"))
 
 

@@ -99,7 +99,8 @@ def _nation_slices(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _neighbor_scores(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _nation_slices(spark, d)
-    return drift.neighbor_drift(drift.scored_entities(nodes), edges).select(*drift.SCORE_KEYS, six("neighbor_drift"))
+    steps = cut(drift.transitions(nodes))
+    return drift.neighbor_drift(drift.scored_entities(nodes, steps), edges, steps).select(*drift.SCORE_KEYS, six("neighbor_drift"))
 
 
 # Graph and slices -------------------------------------------------------------------
