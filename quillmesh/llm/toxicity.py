@@ -9,7 +9,7 @@ so its vector.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -109,27 +109,44 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = 1 << 18, dim: int
     if not len(y) or y.min() == y.max():
         rate_of = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
         return ToxicityModel(np.zeros(buckets, np.float32), float(np.log(rate_of / (1 - rate_of))))
-    bags = [tokens(t) for t in texts]
     index: dict[str, int] = {}
-    word = np.array([index.setdefault(w, len(index)) for bag in bags for w in bag], np.int64)
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    key, count = np.unique(doc * len(index) + word, return_counts=True)
-    doc, word = key // len(index), key % len(index)
-    share = count / np.array([max(len(b), 1) for b in bags])[doc]
-    owner, bucket = subwords(list(index), buckets)
-    part = 1 / np.maximum(np.bincount(owner, minlength=len(index)), 1)[owner]
-    share *= sharpness
+    docs, words, shares = [], [], []
+    for i, text in enumerate(texts):
+        bag = np.array([index.setdefault(w, len(index)) for w in tokens(text)], np.int32)
+        kinds, count = np.unique(bag, return_counts=True)
+        docs.append(np.full(len(kinds), i, np.int32))
+        words.append(kinds)
+        shares.append((sharpness * count / max(len(bag), 1)).astype(np.float32))
+    doc, word, share = np.concatenate(docs), np.concatenate(words), np.concatenate(shares)
+    del docs, words, shares
+    owners, grams, names = [], [], list(index)
+    for low in range(0, len(names), 1 << 14):
+        at, bucket = subwords(names[low : low + (1 << 14)], buckets)
+        owners.append((at + low).astype(np.int32))
+        grams.append(bucket.astype(np.int32))
+    owner, bucket = np.concatenate([*owners, np.zeros(0, np.int32)]), np.concatenate([*grams, np.zeros(0, np.int32)])
+    del owners, grams, names
+    part = (1 / np.maximum(np.bincount(owner, minlength=len(index)), 1)).astype(np.float32)
+    seen = np.bincount(bucket, minlength=buckets) > 0
+    used, bucket = np.flatnonzero(seen), (np.cumsum(seen) - 1).astype(np.int32)[bucket]
+
+    def total(where: np.ndarray, what: Callable[[slice], np.ndarray], size: int, block: int = 1 << 20) -> np.ndarray:
+        """Sums of ``what(places)`` by ``where``, a block of places at a time."""
+        out = np.zeros(size)
+        for low in range(0, len(where), block):
+            out += np.bincount(where[low : low + block], what(slice(low, low + block)), size)
+        return out
+
     rng = np.random.default_rng(seed)
-    used, bucket = np.unique(bucket, return_inverse=True)
     table, out, bias = rng.normal(0, 0.1, (len(used), dim)), rng.normal(0, 0.1, dim), 0.0
     m, v = [np.zeros_like(table), np.zeros_like(out), 0.0], [np.zeros_like(table), np.zeros_like(out), 0.0]
     for t in range(1, steps + 1):
         u = table @ out
-        s = np.bincount(owner, part * u[bucket], len(index))
-        z = np.bincount(doc, share * s[word], len(y)) + bias
+        s = part * total(owner, lambda k: u[bucket[k]], len(index))
+        z = total(doc, lambda k: share[k] * s[word[k]], len(y)) + bias
         g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / len(y)
-        r = np.bincount(word, share * g[doc], len(index))
-        q = np.bincount(bucket, part * r[owner], len(used))
+        r = part * total(word, lambda k: share[k] * g[doc[k]], len(index))
+        q = total(bucket, lambda k: r[owner[k]], len(used))
         grads = [np.outer(q, out), q @ table, g.sum()]
         news = []
         for i, (x, dx) in enumerate(zip((table, out, bias), grads)):
