@@ -13,7 +13,7 @@ from quillmesh.operators import drift, embed, export, extract, graph, project, r
 from quillmesh.operators.components import connected_components
 from quillmesh.plans.lineage import cut
 from quillmesh.plans.relations import decisions, mentions, nation_trade, nations, read, trade, traders
-from quillmesh.schemas import EmbeddingConfig
+from quillmesh.schemas import CANDIDATE_PAIRS, EmbeddingConfig
 from quillmesh.sources import sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -414,6 +414,14 @@ def doc_spread(spark, d):
     return resolve.doc_spread(mentions(spark, d))
 
 
+@query(MENTIONS + " SELECT ida AS mention_id_a, idb AS mention_id_b, docs_a, docs_b, CASE WHEN ida LIKE '%5' THEN 1 ELSE 2 END AS side FROM pairs")
+def json_round_trip(spark, d):
+    text = sinks.encode_nested(_candidates(spark, d))
+    back = tables.decode_nested(text, CANDIDATE_PAIRS)
+    side = F.when(F.col("mention_id_a").endswith("5"), 1).otherwise(2)
+    return back.select("mention_id_a", "mention_id_b", F.col("evidence.surface_a_doc_count").alias("docs_a"), F.col("evidence.surface_b_doc_count").alias("docs_b"), side.alias("side"))
+
+
 @query(MENTIONS + ", r AS (SELECT 'M000000003' AS id) SELECT ida AS mention_id_a, idb AS mention_id_b, round(raw, 4) AS score FROM pairs WHERE ida = 'M000000003' OR idb = 'M000000003'")
 def pairs_of_mention(spark, d):
     return export.pairs_of_mention(_candidates(spark, d), "M000000003").select("mention_id_a", "mention_id_b", "score")

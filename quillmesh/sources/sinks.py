@@ -77,6 +77,12 @@ def save_slices(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").partitionBy("slice_id").parquet(f"{path}/edges")
 
 
+def encode_nested(df: DataFrame) -> DataFrame:
+    """Arrays and structs as JSON text, for stores and dashboards that hold plain columns; vectors stay arrays."""
+    nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.StructType)) and f.name != "embedding"]
+    return df.withColumns({c: F.to_json(c) for c in nested})
+
+
 def fetch_status(manifest: DataFrame, inventory: DataFrame) -> DataFrame:
     """Next status of pending rows, from an inventory ``(local_path, checksum)`` of the files present.
 

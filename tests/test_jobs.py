@@ -30,3 +30,20 @@ def test_network_stages(spark, tmp_path):
     assert network.reduce_points(spark, cfg).count() == 150
     assert len(network.render(spark, cfg).first()["top_entities"]) == 3
     assert tables.load_scores(spark, f"{tmp_path}/store/drift_scores").count() == 120
+
+
+def test_service_calls(spark, tmp_path):
+    import pytest
+
+    from quillmesh.jobs import service
+    from quillmesh.schemas import CANDIDATE_PAIRS
+
+    store = str(tmp_path)
+    rows = [("c1", "m1", "m2", 0.9, ["why"], None, "pending", "v1")]
+    spark.createDataFrame(rows, CANDIDATE_PAIRS).write.parquet(f"{store}/candidate_pairs")
+    assert service.health()["status"] == "ok" and service.list_mentions(spark, store).count() == 0
+    assert service.get_candidate(spark, store, "c1")["score"] == 0.9
+    with pytest.raises(KeyError):
+        service.get_candidate(spark, store, "nope")
+    service.submit_decision(spark, store, {"decision_id": "d1", "candidate_id": "c1", "decision": "approved"})
+    assert service.list_candidates(spark, store, "approved").count() == 1 and service.list_decisions(spark, store).count() == 1
