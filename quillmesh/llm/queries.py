@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import ann, bpe, langid, mixing, quality, sharding, simhash, toxicity, urls, warc
+from quillmesh.llm import ann, bpe, langid, mixing, quality, quality_sql, sharding, simhash, toxicity, urls, warc
 from quillmesh.llm.words import word_count
 
 
@@ -87,6 +87,7 @@ _BASE32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, 5 * k
 
 #: The others rest on XXH64, random draws, trained models or a tokenizer; tests hold those against brute force.
 ORACLES: dict[str, str] = {
+    "op6_quality_rules": quality_sql.oracle(),
     "op10_warc": f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
 d AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 8), lambda k: {' || '.join(_BASE32.format(shift=s) for s in (15, 10, 5, 0))}), 'string_agg', '') AS payload_digest FROM p),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
