@@ -123,13 +123,16 @@ def assign(docs: DataFrame, size: Column | None = None, weights: tuple = WEIGHTS
     return found.select(*[F.col(f"`{c}`") for c in names], mix.alias("mix"))
 
 
-def mix(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 42, shards: int = 16, task_rows: int = 2048, **options) -> DataFrame:
     """The mixed documents: one row for each copy taken, dealt to ``shard`` and in random order within it.
 
-    Columns are those of ``docs`` and ``shard`` (which replaces one of that name).
+    A shard is shuffled in parts of about ``task_rows`` documents, so that tasks stay as
+    small as the input grows. Columns are those of ``docs`` and ``shard`` (which
+    replaces one of that name).
     """
     names = [c for c in docs.columns if c != "shard"]
-    taken = assign(docs, seed=seed, **options)
+    taken = assign(docs, seed=seed, shards=shards, **options)
+    parts = max(1, -(-docs.count() // (shards * task_rows)))
     copies = taken.select(*[F.col(f"`{c}`") for c in names if c != "mix"], F.posexplode("mix.shards").alias("__copy", "shard"))
     salted = copies.withColumn("__at", F.xxhash64(F.lit(seed + 4), "doc_id", "text", "__copy"))
-    return salted.repartition("shard", F.pmod("__at", F.lit(8))).sortWithinPartitions("shard", "__at").drop("__copy", "__at")
+    return salted.repartition(shards * parts, "shard", F.pmod("__at", F.lit(parts))).sortWithinPartitions("shard", "__at").drop("__copy", "__at")
