@@ -205,14 +205,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(labels, "fp", "left").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_rows: int = 2_000_000, **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_rows: int = 2_000_000, finder=near_duplicates, **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: that with the smallest id.
 
+    ``finder`` gives the groups: ``near_duplicates`` of this module or of ``jaccard``.
     Of rows that repeat a kept id one stays; rows without an id all stay, as no id
     names them. The texts are not shuffled unless the ids to
     drop exceed ``max_broadcast_rows`` (16 bytes each) or ids repeat.
     """
-    groups = cut(near_duplicates(docs, id_col, text_col, **options))
+    groups = cut(finder(docs, id_col, text_col, **options))
     drop = groups.where("id <> component").select("id").distinct()
     repeats = groups.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select("id")
     drop, repeats = cut(drop), cut(repeats)
