@@ -30,10 +30,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shuffle_into_shards(read(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
     text = F.coalesce("text", F.lit(""))
-    rows = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    dealt = sharding.shuffle_into_shards(rows, shards=24)
-    return dealt.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, digest = (F.octet_length(text) + 8).cast("long"), F.crc32(text.cast("binary"))
+    return dealt.select("doc_id", size.alias("size"), digest.alias("text_crc32"), F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

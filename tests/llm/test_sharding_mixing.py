@@ -1,8 +1,11 @@
+import zlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from scipy_free import chi_square_ok
 
-from quillmesh.llm import draws, mixing, sharding
+from quillmesh.llm import draws, mixing, queries, sharding
 
 
 def test_split_is_exact_and_unbiased():
@@ -92,3 +95,15 @@ def test_mix_takes_what_it_should(spark):
 
 def test_mix_of_an_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_op2_digests_come_from_the_texts_that_land_in_shards(spark, sf, monkeypatch):
+    whole = sharding.shuffle_into_shards
+
+    def marked(df, **options):
+        return whole(df, **options).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("é!")))
+
+    monkeypatch.setattr(sharding, "shuffle_into_shards", marked)
+    got = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in queries.op2_sharding(spark, sf).collect()}
+    texts = {r["doc_id"]: ((r["text"] or "") + "é!").encode() for r in queries.read(spark, sf, "documents").select("doc_id", "text").collect()}
+    assert got == {i: (len(t) + 8, zlib.crc32(t)) for i, t in texts.items()}
