@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm import ann, bpe, langid, mixing, quality, quality_sql, sharding, simhash, toxicity, urls, warc
 from quillmesh.llm.words import word_count
+from quillmesh.plans.lineage import fresh_path
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,8 +73,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mixing.assign(docs, word_count(F.col("text")))
-    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.size("mix.shards") * F.col("mix.size")).alias("taken"))
+    path = fresh_path(spark, "mixed")
+    mixing.mix(docs).write.parquet(path)
+    copies = spark.read.parquet(path).groupBy(F.col("doc_id").alias("__id")).agg(F.sum(word_count(F.col("text"))).alias("taken"))
+    placed = mixing.assign(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target")
+    found = placed.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

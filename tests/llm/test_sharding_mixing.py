@@ -107,3 +107,12 @@ def test_op2_digests_come_from_the_texts_that_land_in_shards(spark, sf, monkeypa
     got = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in queries.op2_sharding(spark, sf).collect()}
     texts = {r["doc_id"]: ((r["text"] or "") + "é!").encode() for r in queries.read(spark, sf, "documents").select("doc_id", "text").collect()}
     assert got == {i: (len(t) + 8, zlib.crc32(t)) for i, t in texts.items()}
+
+
+def test_op9_counts_the_copies_that_come_out(spark, sf, monkeypatch):
+    whole = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda docs, **options: whole(docs, **options).where("doc_id % 7 <> 0"))
+    got = {r["doc_id"]: r for r in queries.op9_mixing(spark, sf).collect()}
+    docs = queries.read(spark, sf, "documents").select("doc_id", "text", "source")
+    want = {r["doc_id"]: (r["mix"]["size"], len(r["mix"]["shards"])) for r in mixing.assign(docs).collect()}
+    assert {i: r["taken"] for i, r in got.items()} == {i: n * size if i % 7 else 0 for i, (size, n) in want.items()}
