@@ -73,12 +73,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    path = fresh_path(spark, "mixed")
-    mixing.mix(docs).write.parquet(path)
-    copies = spark.read.parquet(path).groupBy(F.col("doc_id").alias("__id")).agg(F.sum(word_count(F.col("text"))).alias("taken"))
-    placed = mixing.assign(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target")
-    found = placed.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    planned = mixing.plan(docs)
+    out = mixing.mix(docs, planned=planned)
+    copies = out.groupBy(F.col("doc_id").alias("__id"), mixing.place(planned.seed).alias("__place")).agg(F.sum(word_count(F.col("text"))).alias("words"))
+    alike = planned.joined(planned.rows.groupBy("doc_id", "source", "size", "place").agg(F.count("*").cast("int").alias("many")))
+    found = alike.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("place") == F.col("__place")), "left")
+    taken = F.expr("coalesce(words, 0L) div many")
+    given = found.select("doc_id", "size", F.col("__plan.words").alias("source_size"), F.col("__plan.target").alias("target"), taken.alias("taken"), F.explode(F.array_repeat(F.lit(0), F.col("many"))).alias("__each"))
+    return given.drop("__each")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

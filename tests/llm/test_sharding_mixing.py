@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -60,23 +61,44 @@ def test_shards_of_an_empty_table(spark):
     assert sharding.shuffle_into_shards(spark.range(0)).count() == 0
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100], [5, 2, 1]) == [200.0, pytest.approx(166.6667, abs=1e-3), pytest.approx(83.3333, abs=1e-3)]
-    assert mixing.targets([0, 10], [5, 2]) == [0.0, 15.0] and mixing.targets([], []) == []
-    sizes = [7, 1000, 13, 0, 400]
-    goal = mixing.targets(sizes, [5, 2, 1, 5, 2])
-    assert sum(goal) == pytest.approx(1.5 * sum(sizes)) and all(g <= 2 * s for g, s in zip(goal, sizes))
+def targets(sizes, weights, share=1.5, most=2.0):
+    """The rule of the targets, a source at a time."""
+    out, left, open_ = [0.0] * len(sizes), share * sum(sizes), set(range(len(sizes)))
+    while open_:
+        total = sum(weights[i % len(weights)] for i in open_)
+        over = [i for i in open_ if left * weights[i % len(weights)] / total > most * sizes[i]]
+        for i in over or open_:
+            out[i] = most * sizes[i] if over else left * weights[i % len(weights)] / total
+        open_ = open_ - set(over) if over else set()
+        left -= sum(out[i] for i in over)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [0, 10], [], [7, 1000, 13, 0, 400], [1] * 50 + [10**6], [0, 0]])
+def test_targets(spark, sizes):
+    rows = spark.createDataFrame(list(enumerate(sizes)), "no long, words long")
+    got = {r["no"]: r["target"] for r in mixing.with_targets(rows).collect()}
+    want = targets(sizes, [5, 2, 1])
+    assert got == {i: pytest.approx(w) for i, w in enumerate(want)}
+    assert sum(want) == pytest.approx(1.5 * sum(sizes))
 
 
 def test_tree_sums():
-    leaves = np.array(mixing.splitting_tree([10, 0, 7, 100], 5))
-    assert leaves.sum(axis=0).tolist() == [10, 0, 7, 100] and leaves.sum(axis=1).tolist() == draws.even(117, 5)
+    room = draws.even(117, 5)
+    leaves = np.array(mixing.splitting_tree([10, 0, 7, 100], room, np.random.default_rng(1)))
+    assert leaves.sum(axis=0).tolist() == [10, 0, 7, 100] and leaves.sum(axis=1).tolist() == room
+
 
+def mixed_rows():
+    return [(i, "w " * (1 + i % 40), ["a", "b", "c", None][0 if i % 3 else i % 4]) for i in range(3000)] + [(9000, None, "b"), (9001, "", None), (None, "x y", "c"), (5, "again and again", "a"), (5, "again and again", "a")]
 
-def test_mix_takes_what_it_should(spark):
-    rows = [(i, "w " * (1 + i % 40), ["a", "b", "c", None][0 if i % 3 else i % 4]) for i in range(3000)] + [(9000, None, "b"), (9001, "", None), (None, "x y", "c")]
+
+@pytest.mark.parametrize("options", [{"block_rows": 64}, {"block_rows": 8, "bucket_rows": 4, "max_broadcast_rows": 0}])
+def test_mix_takes_what_it_should(spark, options):
+    rows = mixed_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mixing.assign(docs, block_rows=64).collect()
+    planned = mixing.plan(docs, **options)
+    got = mixing.assign(docs, planned=planned).collect()
     assert len(got) == len(rows)
     by = {}
     for r in got:
@@ -85,14 +107,41 @@ def test_mix_takes_what_it_should(spark):
         s[1] += r["mix"]["size"] * len(r["mix"]["shards"])
         assert len(r["mix"]["shards"]) <= 2 and all(0 <= k < 16 for k in r["mix"]["shards"])
     order = sorted(by, key=lambda s: (s is None, s or ""))
-    goal = mixing.targets([by[s][0] for s in order], [5, 2, 1, 5][: len(order)])
+    goal = targets([by[s][0] for s in order], [5, 2, 1])
     for s, g in zip(order, goal):
         assert by[s][0] == by[s][2] and by[s][3] == pytest.approx(g) and abs(by[s][1] - g) <= 25
-    assert sorted(map(str, got)) == sorted(map(str, mixing.assign(docs, block_rows=64).collect()))
-    mixed = mixing.mix(docs, block_rows=64)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.assign(docs, **options).collect()))
+    mixed = mixing.mix(docs, planned=planned)
     assert mixed.columns == ["doc_id", "text", "source", "shard"] and mixed.count() == sum(len(r["mix"]["shards"]) for r in got)
 
 
+def test_blocks_fill_the_shards_that_the_tree_gave(spark):
+    docs = spark.createDataFrame(mixed_rows(), "doc_id long, text string, source string")
+    planned = mixing.plan(docs, block_rows=16)
+    sources = planned.sources.collect()
+    per_shard = [0] * 16
+    for s in sources:
+        ends = [0, *s["cuts"], s["uses"]]
+        assert ends == sorted(ends) and len({(i * s["factor"] + s["start"]) % max(s["uses"], 1) for i in range(s["uses"])}) == s["uses"]
+        per_shard = [a + b - c for a, b, c in zip(per_shard, ends[1:], ends)]
+    assert sorted(per_shard, reverse=True) == draws.even(sum(s["uses"] for s in sources), 16)
+    dealt = np.bincount([k for r in mixing.assign(docs, planned=planned).collect() for k in r["mix"]["shards"]], minlength=16)
+    assert dealt.min() > 0.6 * dealt.mean() and dealt.max() < 1.4 * dealt.mean()
+
+
+def test_sources_have_no_limit(spark):
+    docs = spark.range(100_500).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.concat(F.lit("s"), F.col("id")).alias("source"))
+    got = mixing.assign(docs).agg(F.count("*").alias("n"), F.sum("mix.target").alias("t"), F.max(F.size("mix.shards")).alias("most")).first()
+    assert got["n"] == 100_500 and got["t"] == pytest.approx(1.5 * 201_000) and got["most"] == 2
+
+
+def test_columns_that_clash_stay(spark):
+    docs = spark.createDataFrame([(i, "a b c", "s", i, f"m{i}", 2 * i) for i in range(40)], "doc_id long, text string, source string, shard long, mix string, `a.b` long")
+    out = mixing.mix(docs, column=None)
+    assert out.columns == docs.columns
+    assert all((r["shard"], r["mix"], r["a.b"]) == (r["doc_id"], f"m{r['doc_id']}", 2 * r["doc_id"]) for r in out.collect())
+
+
 def test_mix_of_an_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
@@ -114,5 +163,10 @@ def test_op9_counts_the_copies_that_come_out(spark, sf, monkeypatch):
     monkeypatch.setattr(mixing, "mix", lambda docs, **options: whole(docs, **options).where("doc_id % 7 <> 0"))
     got = {r["doc_id"]: r for r in queries.op9_mixing(spark, sf).collect()}
     docs = queries.read(spark, sf, "documents").select("doc_id", "text", "source")
-    want = {r["doc_id"]: (r["mix"]["size"], len(r["mix"]["shards"])) for r in mixing.assign(docs).collect()}
+    placed = mixing.assign(docs).collect()
+    want = {r["doc_id"]: (r["mix"]["size"], len(r["mix"]["shards"])) for r in placed}
+    sizes, order = {}, sorted({r["source"] for r in placed}, key=lambda s: (s is None, s or ""))
+    for r in placed:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len([w for w in re.split("[ \t\n\x0b\f\r]", r["text"] or "") if w])
+    assert {r["doc_id"]: r["target"] for r in got.values()} == {r["doc_id"]: pytest.approx(dict(zip(order, targets([sizes[s] for s in order], [5, 2, 1])))[r["source"]]) for r in placed}
     assert {i: r["taken"] for i, r in got.items()} == {i: n * size if i % 7 else 0 for i, (size, n) in want.items()}
