@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.samples import sample
+
 LONGEST = 3
 #: Texts in one presence matrix, and characters whose n-grams are hashed at once.
 BATCH, CHAR_BLOCK = 64, 1 << 20
@@ -106,27 +108,23 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, landmarks:
 
 
 def training_rows(docs: DataFrame, per_language: int = 600, max_chars: int = 20_000, seed: int = 42) -> tuple[list[str], list[str]]:
-    """A bounded sample of about ``per_language`` labelled texts of each language, drawn by a hash of the id.
+    """A bounded sample of up to ``per_language`` different labelled texts of each language, drawn by a hash of text and label.
 
-    Rows without text, language or id, and texts over ``max_chars``, teach nothing.
+    Rows without text or language, and texts over ``max_chars``, teach nothing. A text
+    that repeats counts once, under whatever ids; an empty table gives no rows.
     """
-    known = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(F.length("text") <= max_chars)
-    size = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not size:
-        return [], []
-    share = F.element_at(F.create_map(*[F.lit(x) for g, n in sorted(size.items()) for x in (g, int(1e6 * per_language / n))]), F.col("lang"))
-    some = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < share)
-    got = sorted((r["doc_id"], r["lang"], r["text"]) for r in some.select("doc_id", "lang", "text").collect())
-    return [t for _, _, t in got], [g for _, g, _ in got]
+    known = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(F.length("text") <= max_chars).select("lang", "text")
+    got = sorted((r["lang"], r["text"]) for r in sample(known, "lang", F.lit(per_language), seed).collect())
+    return [t for _, t in got], [g for g, _ in got]
 
 
 def fit(docs: DataFrame, per_language: int = 600, **options) -> LanguageModel:
-    """Train on ``training_rows``; ``docs`` has ``doc_id``, ``text`` and ``lang``."""
+    """Train on ``training_rows``; ``docs`` has ``text`` and ``lang``, other columns are not read. An empty table gives a model that says ``und``."""
     return train(*training_rows(docs, per_language), **options)
 
 
 def language_column(model: LanguageModel, text: Column) -> Column:
-    """Struct of ``lang`` and ``score`` for each whole text."""
+    """Struct of ``lang`` and ``score`` for each whole text; ``und`` and 0 for null texts and those without letters."""
 
     @F.arrow_udf("lang string, score double")
     def of(texts: pa.Array) -> pa.Array:

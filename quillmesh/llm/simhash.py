@@ -139,7 +139,7 @@ def _forest(codes: np.ndarray, left: np.ndarray, bits: int, radius: int) -> np.n
     return label
 
 
-def ball_links(nodes: DataFrame, radius: int = 4, bucket_rows: int = 1024) -> DataFrame:
+def ball_links(nodes: DataFrame, radius: int = 4, bucket_rows: int = 1024, task_rows: int = 1 << 19) -> DataFrame:
     """Links ``(src, dst)`` that connect every two fingerprints at ``radius`` or fewer differing bits.
 
     ``nodes``: distinct ``(fp, node)``. Two fingerprints within the radius share a
@@ -148,12 +148,14 @@ def ball_links(nodes: DataFrame, radius: int = 4, bucket_rows: int = 1024) -> Da
     spelled out on the receiving side, so the exchange carries a few dozen rows a
     fingerprint instead of two thousand. A bucket returns a spanning forest of its
     verified collisions: at most one link a row, whatever the size of a group.
+    The exchange has a task for every ``task_rows`` rows, sorted by bucket; a task
+    holds one bucket at a time.
     """
     half = radius // 2
     if radius % 2:
         raise ValueError("the radius is even: each side flips half of it")
     rows = nodes.count()
-    prefix = int(np.clip(np.ceil(np.log2(max(rows, 1) / bucket_rows)), 4, 20))
+    prefix = int(np.clip(np.ceil(np.log2(max(rows, 1) / bucket_rows)), 4, BITS - 8))
     rest = BITS - prefix
     masks = ball_masks(prefix, half)
 
@@ -161,33 +163,42 @@ def ball_links(nodes: DataFrame, radius: int = 4, bucket_rows: int = 1024) -> Da
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)
             node = batch.column("node").to_numpy()
-            for low in range(0, len(fp), 1 << 14):
-                f, n = fp[low : low + (1 << 14)], node[low : low + (1 << 14)]
+            step = max(1, (1 << 18) // len(masks))
+            for low in range(0, len(fp), step):
+                f, n = fp[low : low + step], node[low : low + step]
                 to = (f >> np.uint64(rest))[:, None] ^ masks[None, :]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(to.ravel().astype(np.int32)), pa.array(np.repeat(f, len(masks)).view(np.int64)), pa.array(np.repeat(n, len(masks)))],
+                    [pa.array(to.ravel().astype(np.int64)), pa.array(np.repeat(f, len(masks)).view(np.int64)), pa.array(np.repeat(n, len(masks)))],
                     names=["bucket", "fp", "node"],
                 )
 
+    def links(bucket: int, codes: np.ndarray, node: np.ndarray):
+        left = half - np.bitwise_count((codes >> np.uint64(rest)) ^ np.uint64(bucket)).astype(np.int8)
+        label = _forest(codes, left, rest, radius)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return node[moved], node[label[moved]]
+
     def gather(batches):
-        held = [(b.column("bucket").to_numpy(), b.column("fp").to_numpy(), b.column("node").to_numpy()) for b in batches]
-        if not held:
-            return
-        bucket, fp, node = (np.concatenate(x) for x in zip(*held))
-        del held
-        order = np.lexsort((node, bucket))
-        bucket, codes, node = bucket[order], fp[order].view(np.uint64), node[order]
-        edges = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
-        for low, high in zip(edges, [*edges[1:], len(bucket)]):
-            c, n = codes[low:high], node[low:high]
-            left = half - np.bitwise_count((c >> np.uint64(rest)) ^ np.uint64(bucket[low])).astype(np.int8)
-            label = _forest(c, left, rest, radius)
-            moved = np.flatnonzero(label != np.arange(len(label)))
-            if len(moved):
-                yield pa.RecordBatch.from_arrays([pa.array(n[moved]), pa.array(n[label[moved]])], names=["src", "dst"])
-
-    spread = nodes.select("fp", "node").mapInArrow(scatter, "bucket int, fp long, node long")
-    return spread.repartition("bucket").mapInArrow(gather, "src long, dst long")
+        now, held = None, []
+        for batch in batches:
+            bucket, fp, node = (batch.column(c).to_numpy() for c in ("bucket", "fp", "node"))
+            edges = np.flatnonzero(np.diff(bucket)) + 1
+            found = []
+            for low, high in zip([0, *edges], [*edges, len(bucket)]):
+                if low < high:
+                    if bucket[low] != now and held:
+                        found.append(links(now, *(np.concatenate(x) for x in zip(*held))))
+                        held = []
+                    now = bucket[low]
+                    held.append((fp[low:high].view(np.uint64), node[low:high]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["src", "dst"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in links(now, *(np.concatenate(x) for x in zip(*held)))], names=["src", "dst"])
+
+    spread = nodes.select("fp", "node").mapInArrow(scatter, "bucket long, fp long, node long")
+    tasks = max(1, -(-rows * len(masks) // task_rows))
+    return spread.repartition(tasks, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(gather, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
@@ -222,4 +233,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     if not repeats.isEmpty():
         again = broadcast_if(repeats.withColumnRenamed("id", id_col), repeats.count(), max_broadcast_rows)
         kept = kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]))
-    return kept.select(docs.columns)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

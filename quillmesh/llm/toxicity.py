@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.samples import sample
+from quillmesh.plans.lineage import broadcast_if, cut
+
 #: Punctuation that may stand around a word.
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_"
 LONGEST, SHORTEST = 5, 3
@@ -159,20 +162,19 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = 1 << 18, dim: int
     return ToxicityModel(weight, float(bias))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 4500, max_chars: int = 20_000, seed: int = 42) -> tuple[list[str], np.ndarray]:
-    """A bounded sample of labelled texts: about ``max_toxic`` and ``max_clean`` of them.
+def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 4500, max_chars: int = 20_000, seed: int = 42, max_broadcast_rows: int = 100_000) -> tuple[list[str], np.ndarray]:
+    """A bounded sample of labelled texts: up to ``max_toxic`` and ``max_clean`` of them.
 
-    The rows are chosen by a hash of their id, so reruns agree; texts over
-    ``max_chars`` are scored but not learned from. Rows with conflicting labels count
-    as toxic; null labels are ignored.
+    Ids are drawn by a hash, so reruns agree; texts over ``max_chars`` are scored but
+    not learned from. Conflicting labels of an id count as toxic, repeated ones once;
+    null labels and ids are ignored; of the texts of a repeated id the first by code
+    point teaches. Empty tables give no rows.
     """
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    size = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
-    share = F.when(F.col("toxic") == 1, F.lit(max_toxic / max(size.get(1, 0), 1))).otherwise(F.lit(max_clean / max(size.get(0, 0), 1)))
-    some = known.where(draw < share * 1_000_000)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where(F.length("text") <= max_chars)
-    got = sorted((r["doc_id"], r["text"], int(r["toxic"])) for r in rows.collect())
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
+    some = cut(sample(known, "toxic", F.when(F.col("toxic"), F.lit(max_toxic)).otherwise(F.lit(max_clean)), seed))
+    few = broadcast_if(some.withColumnRenamed("doc_id", "__id"), max_toxic + max_clean, max_broadcast_rows)
+    rows = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(few, F.col("doc_id") == F.col("__id"))
+    got = sorted((r["doc_id"], r["text"], int(r["toxic"])) for r in rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect())
     return [t for _, t, _ in got], np.array([y for _, _, y in got])
 
 

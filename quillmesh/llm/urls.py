@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.plans.lineage import broadcast_if, cut
+
 #: Rules as (host and path, verdict).
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-#: Longest context in characters, rows of the context table a length, and character classes.
-ORDER, CONTEXTS, CLASSES = 5, 1 << 12, 64
+#: Longest context in characters, and the alphabet size that unseen characters share evenly.
+ORDER, ALPHABET = 5, 256
 _LOWER_A_TO_Z = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: What stands before a url and after it in the models, and nowhere else.
+START, END = "\x02", "\x03"
+#: Scores are binned by this for calibration.
+BIN = 0.01
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -35,123 +38,107 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _events(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(owner, contexts, class)`` of every character and the end mark: a row of the context table for each order.
+def grams(url: Column) -> Column:
+    """Each character of a url and the end mark, after the ``ORDER`` characters before it; letters fold case."""
+    clean = F.translate(F.coalesce(url, F.lit("")), START + END + _LOWER_A_TO_Z[0], "  " + _LOWER_A_TO_Z[1])
+    chars = F.split(F.concat(F.lit(START * ORDER), clean, F.lit(END)), "")
+
+    def windows(c: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(c) - ORDER - 1), lambda i: F.concat(*[F.get(c, i + k) for k in range(ORDER + 1)]))
+
+    return F.transform(F.array(chars), windows)[0]
 
-    Letters fold case; characters outside printable ASCII share one class.
+
+def gram_ratios(counts: DataFrame) -> DataFrame:
+    """``(gram, ratio)`` from ``counts(gram, good, bad)``: log probability of its last character as accepted less that as rejected.
+
+    Each model interpolates contexts of length 0 to ``ORDER`` (Witten-Bell): a context
+    seen ``n`` times with ``t`` different characters trusts its own counts by ``n``
+    parts and the next shorter context by ``t``. Contexts are exact strings; their table
+    grows with the urls and is joined by its own keys, an order at a time.
     """
-    texts = [u or "" for u in urls]
-    length = np.fromiter((len(u) + 1 for u in texts), np.int64, len(texts))
-    code = np.frombuffer("".join(u + "\n" for u in (t.replace("\n", " ") for t in texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = np.where((code >= 65) & (code <= 90), code + 32, code)
-    kind = np.where((low > 32) & (low < 64), low - 32, np.where((low > 90) & (low < 123), low - 59, 0)).astype(np.int64)
-    kind[code == 10] = CLASSES - 1
-    owner = np.repeat(np.arange(len(texts)), length)
-    at = np.arange(len(code)) - np.repeat(np.cumsum(length) - length, length)
-    contexts = np.zeros((ORDER + 1, len(code)), np.int64)
-    rolled = np.zeros(len(code), np.uint64)
-    for k in range(1, ORDER + 1):
-        before = np.zeros(len(code), np.uint64)
-        before[k:] = low[:-k] if k < len(code) else 0
-        before[at < k] = 1
-        rolled = rolled * np.uint64(1000003) + before + np.uint64(7)
-        contexts[k] = k * CONTEXTS + ((rolled * _MIX) >> np.uint64(64 - 12)).astype(np.int64)
-    return owner, contexts, kind
+    shorter = None
+    for k in range(ORDER + 1):
+        level = counts.groupBy(F.right("gram", F.lit(k + 1)).alias("gram")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        context = Window.partitionBy(F.left("gram", F.lit(k)))
+        sides = ("good", "bad")
+        level = level.withColumns({f"n_{s}": F.sum(s).over(context) for s in sides} | {f"t_{s}": F.greatest(F.sum((F.col(s) > 0).cast("long")).over(context), F.lit(1)) for s in sides})
+        if shorter is None:
+            level = level.withColumns({f"s_{s}": F.lit(1.0 / ALPHABET) for s in sides})
+        else:
+            known = shorter.select(F.col("gram").alias("__short"), *[F.col(f"p_{s}").alias(f"s_{s}") for s in sides])
+            level = level.join(known, F.right("gram", F.lit(k)) == F.col("__short"))
+        shorter = level.select("gram", *[((F.col(s) + F.col(f"t_{s}") * F.col(f"s_{s}")) / (F.col(f"n_{s}") + F.col(f"t_{s}"))).alias(f"p_{s}") for s in sides])
+    return shorter.select("gram", (F.log("p_good") - F.log("p_bad")).alias("ratio"))
 
 
 @dataclass
 class UrlModel:
-    """Counts ``[class of url][context row][character class]`` and the calibrated threshold."""
+    """``ratios(gram, ratio)`` of every gram of the urls at hand, and the calibrated threshold."""
 
-    counts: np.ndarray
+    ratios: DataFrame
+    n_grams: int
     threshold: float = 0.0
 
-    def ratios(self, urls: list[str | None]) -> np.ndarray:
-        """Per url: log-likelihood as accepted less that as rejected, over its characters and end mark."""
-        owner, contexts, kind = _events(urls)
-        logs = []
-        for counts in self.counts:
-            total, kinds = counts.sum(axis=1), (counts > 0).sum(axis=1)
-            p = np.full(len(kind), 1 / CLASSES)
-            for k in range(ORDER + 1):
-                row = contexts[k]
-                new = np.maximum(kinds[row], 1)
-                p = (counts[row, kind] + new * p) / (total[row] + new)
-            logs.append(np.log(p))
-        return np.bincount(owner, logs[0] - logs[1], len(urls)) / np.maximum(np.bincount(owner, minlength=len(urls)), 1)
-
-
-def fit(labelled: DataFrame, url: str = "url", accepted: str = "accepted") -> UrlModel:
-    """Two smoothed variable-order models from all rows with a label, and their threshold.
-
-    The models interpolate contexts of length 0 to ``ORDER`` (Witten-Bell). Every
-    partition counts into a table of fixed size, and the tables are summed before
-    they reach the driver: at most ``2 * (ORDER + 1) * CONTEXTS * CLASSES`` rows. A
-    fifth of the urls (by hash) is kept out of the counts for calibration: the threshold lies
-    where accepted and rejected urls of that fifth err alike. With one label only,
-    or none, the threshold is 0.
-    """
-    rows = labelled.select(F.col(url).alias("u"), F.col(accepted).alias("y")).where("u IS NOT NULL AND y IS NOT NULL")
-    rows = rows.withColumn("held", F.pmod(F.xxhash64("u"), F.lit(5)) == 0)
-    shape = (2, (ORDER + 1) * CONTEXTS, CLASSES)
-
-    def count(batches):
-        table = np.zeros(shape, np.int64)
-        for b in batches:
-            urls, y = b.column("u").to_pylist(), b.column("y").to_numpy(zero_copy_only=False).astype(bool)
-            for low in range(0, len(urls), 4096):
-                owner, contexts, kind = _events(urls[low : low + 4096])
-                side = np.where(y[low : low + 4096], 0, 1)[owner]
-                for k in range(ORDER + 1):
-                    np.add.at(table, (side, contexts[k], kind), 1)
-        flat = table.ravel()
-        at = np.flatnonzero(flat)
-        for low in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(at[low : low + (1 << 16)]), pa.array(flat[at[low : low + (1 << 16)]])], names=["at", "n"])
-
-    table = np.zeros(shape, np.float32)
-    got = rows.where("NOT held").select("u", "y").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    table.ravel()[got.column("at").to_numpy()] = got.column("n").to_numpy()
-    model = UrlModel(table)
-    bins = 0.01
-    score = F.floor(ratio_column(model, F.col("u")) / bins).alias("bin")
-    seen = rows.where("held").select(score, "y").groupBy("bin").agg(F.sum(F.col("y").cast("long")).alias("good"), F.sum((~F.col("y")).cast("long")).alias("bad"))
-    marks = sorted((r["bin"], r["good"], r["bad"]) for r in seen.collect())
-    good, bad = sum(m[1] for m in marks), sum(m[2] for m in marks)
-    if good and bad:
-        lost, passed, best = 0, bad, (1.0, 0)
-        for b, g, w in marks:
-            best = min(best, (abs(lost / good - passed / bad), b))
-            lost, passed = lost + g, passed - w
-        model.threshold = best[1] * bins
-    return model
 
+def with_ratio(rows: DataFrame, model: UrlModel, key: str, url: str, max_broadcast_rows: int = 500_000) -> DataFrame:
+    """``(key, ratio)`` of each row: the mean over the url's characters and end mark of their grams' ratios.
 
-def ratio_column(model: UrlModel, url: Column) -> Column:
-    """Length-normalised log-likelihood difference; a null or empty url has that of the end mark alone."""
+    ``key`` tells the rows apart. The table of grams is broadcast if it is small enough;
+    beyond that urls and grams meet by a shuffle.
+    """
+    each = rows.select(key, F.explode(grams(F.col(url))).alias("gram"))
+    return each.join(broadcast_if(model.ratios, model.n_grams, max_broadcast_rows), "gram").groupBy(key).agg(F.avg("ratio").alias("ratio"))
 
-    @F.arrow_udf("double")
-    def of(urls: pa.Array) -> pa.Array:
-        parts = [model.ratios(urls.slice(low, 4096).to_pylist()) for low in range(0, len(urls), 4096)]
-        return pa.array(np.concatenate([*parts, np.zeros(0)]))
 
-    return of(url)
+def calibrated(seen: DataFrame) -> float:
+    """Where accepted and rejected rows of ``seen(ratio, accepted)`` err alike; 0 with one kind only, or none."""
+    bins = seen.groupBy(F.floor(F.col("ratio") / BIN).alias("bin")).agg(F.sum(F.col("accepted").cast("long")).alias("good"), F.sum((~F.col("accepted")).cast("long")).alias("bad"))
+    marks = sorted((r["bin"], r["good"], r["bad"]) for r in bins.collect())
+    good, bad = sum(m[1] for m in marks), sum(m[2] for m in marks)
+    if not good or not bad:
+        return 0.0
+    lost, passed, best = 0, bad, (1.0, 0)
+    for b, g, w in marks:
+        best = min(best, (abs(lost / good - passed / bad), b))
+        lost, passed = lost + g, passed - w
+    return best[1] * BIN
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
+def score(rows: DataFrame, key: str, url: str, accepted: str, max_broadcast_rows: int = 500_000) -> tuple[DataFrame, float]:
+    """``(key, ratio)`` of all ``rows``, and the threshold, from those whose ``accepted`` is not null.
+
+    A fifth of the labelled urls (by hash) is kept out of the counts and sets the
+    threshold. Every url counts as often as it occurs. Null urls are scored as empty ones
+    and teach nothing.
+    """
+    known = F.col(accepted).isNotNull() & F.col(url).isNotNull()
+    held = F.pmod(F.xxhash64(url), F.lit(5)) == 0
+    teaches = lambda kind: F.coalesce((known & ~held & (F.col(accepted) == kind)).cast("long"), F.lit(0))
+    each = rows.select(teaches(True).alias("good"), teaches(False).alias("bad"), F.explode(grams(F.col(url))).alias("gram"))
+    counts = cut(each.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
+    model = UrlModel(cut(gram_ratios(counts)), counts.count())
+    scored = cut(with_ratio(rows, model, key, url, max_broadcast_rows))
+    model.threshold = calibrated(rows.where(known & held).select(key, F.col(accepted).alias("accepted")).join(scored, key))
+    return scored, model.threshold
+
+
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_broadcast_rows: int = 500_000) -> DataFrame:
     """``(id, host, path, rule, ratio, verdict)`` of every url.
 
     A matching rule decides; the urls that rules decide teach the two models, which
-    decide the rest: ``allow`` at or above the calibrated threshold.
+    decide the rest: ``allow`` at or above the calibrated threshold. Null urls and those without ``://`` have empty host and path and are
+    judged by the models; repeated rows are judged each; an empty table gives no
+    rows. Other columns of ``pages`` are not read.
     """
     host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col), F.col(url_col).alias("__url"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(id_col), F.col(url_col).alias("__url"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("__row"))
     rows = rows.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
     verdict = F.lit(None).cast("string")
     for rule, said in rules:
         verdict = F.when(F.col("rule") == rule, F.lit(said)).otherwise(verdict)
-    rows = rows.withColumn("said", verdict)
-    model = fit(rows.where("said IS NOT NULL").select("__url", (F.col("said") == "allow").alias("accepted")), "__url")
-    scored = rows.withColumn("ratio", ratio_column(model, F.col("__url")))
-    by_model = F.when(F.col("ratio") >= model.threshold, F.lit("allow")).otherwise(F.lit("block"))
-    return scored.select(id_col, "host", "path", "rule", "ratio", F.coalesce("said", by_model).alias("verdict"))
+    rows = cut(rows.withColumn("__said", verdict).withColumn("__accepted", F.col("__said") == "allow"))
+    ratios, threshold = score(rows, "__row", "__url", "__accepted", max_broadcast_rows)
+    judged = rows.join(ratios, "__row", "left")
+    by_model = F.when(F.col("ratio") >= threshold, F.lit("allow")).otherwise(F.lit("block"))
+    return judged.select(id_col, "host", "path", "rule", "ratio", F.coalesce("__said", by_model).alias("verdict"))

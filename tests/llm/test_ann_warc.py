@@ -21,10 +21,11 @@ def brute(rows, k=5):
 
 def test_index_returns_all_within_radius():
     rng = np.random.default_rng(0)
-    codes = rng.integers(0, 256, (3000, 8), dtype=np.uint8)
+    codes = rng.integers(0, 1 << 16, (3000, 16), dtype=np.uint16)
+    codes[1000:2000] = codes[7] ^ (1 << rng.integers(0, 16, (1000, 16))).astype(np.uint16) * (rng.random((1000, 16)) < 0.5)
     index = ann.MultiIndex(codes)
-    for radius in (0, 5, 17, 26, 64):
-        dist = ann._ONES[codes ^ codes[7]].sum(axis=1)
+    for radius in (0, 5, 7, 17, 33, 110, 256):
+        dist = np.array([sum(bin(int(x)).count("1") for x in row) for row in codes ^ codes[7]])
         assert index.within(codes[7], radius).tolist() == np.flatnonzero(dist <= radius).tolist()
 
 
@@ -44,7 +45,7 @@ def test_odd_vectors_ties_and_shards(spark):
     rows += [(300, None), (350, [0.0] * 6), (400, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (401, [float("nan")] * 6), (402, [float("inf")] + [1.0] * 5), (403, [1.0, 2.0]), (404, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     true = brute([r for r in rows if r[1] is not None and len(r[1]) == 6])
-    for options in ({}, {"shard_rows": 40, "query_rows": 2}):
+    for options in ({}, {"shard_rows": 40}):
         got = ann.nearest(df, df.where("vec_id % 50 = 0"), 5, **options).orderBy("query_id", "rank").collect()
         assert {r["query_id"] for r in got} == set(true)
         assert all([r["rank"] for r in got if r["query_id"] == q] == [1, 2, 3, 4, 5] for q in true)
@@ -55,6 +56,21 @@ def test_odd_vectors_ties_and_shards(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_lengths_extremes_and_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)] + [(100 + i, rng.normal(size=3).tolist()) for i in range(60)]
+    rows += [(200, [1e-200, 0.0, 0.0, 0.0]), (201, [1e300, 1e300, 0.0, 0.0]), (202, [1e300, -1e300, 1e300, 0.0]), (50, rows[50][1]), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id % 50 = 0"), 5).collect()
+    assert {q: sum(r["query_id"] == q for r in got) for q in (0, 50, 100, 150, 200)} == dict.fromkeys((0, 50, 100, 150, 200), 5)
+    scaled = [(i, (np.array(v) / max(map(abs, v))).tolist()) for i, v in rows]
+    for q in (0, 200):
+        v = dict(scaled)[q]
+        same = sorted((-float(np.dot(v, w) / np.sqrt(np.dot(v, v) * np.dot(w, w))), i) for i, w in scaled if i != q and len(w) == len(v))[:5]
+        assert [(r["id"], pytest.approx(r["score"])) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(i, -s) for s, i in same]
+    assert all((r["query_id"] >= 100 and r["query_id"] < 200) == (100 <= r["id"] < 200) for r in got)
+
+
 def page_rows():
     same, long = "<p>same</p>", "é😀\r\n\r\nWARC/1.1\r\n" * 40_000
     return [(5, "http://a/\r\nX: y", same), (3, "http://b/", same), (9, None, same), (1, "u", ""), (2, "u", None), (7, "u", long), (8, "ü?", "x\r\n\r\n"), (3, "http://b/", same), (None, "n", same)]
