@@ -27,7 +27,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PLAIN, _ALPHA = r"[^\x00-\x1b\x20-\x7f\u00c0-\u024f]", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 PLAIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_ALPHA}]+| ?[0-9]+| ?[^\s0-9{_ALPHA}]+|\s+(?!\S)|\s+"
 #: Words that a worker remembers before it starts afresh; longer words are not kept.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 64
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64
 _NEVER = np.int64(1) << 40
 
 
@@ -82,6 +82,7 @@ class Bpe:
         self._pattern, self._plain, self._odd = regex.compile(PATTERN), re.compile(PLAIN_PATTERN), re.compile(PLAIN)
         self._added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self._cache: dict[str | int, tuple[int, ...]] = {i: (i,) for i in self.added.values()}
+        self._older: dict[str | int, tuple[int, ...]] = {}
         self.checked = self.failed = 0
 
     def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -204,9 +205,12 @@ class Bpe:
         """Token ids of each text; null encodes as the empty text."""
         parted = [self.parts(t or "") for t in texts]
         if len(self._cache) > CACHE_WORDS:
-            self._cache = {i: (i,) for i in self.added.values()}
-        known = self._cache
-        new = list(set().union(*parted).difference(known))
+            self._older, self._cache = self._cache, {i: (i,) for i in self.added.values()}
+        known, older = self._cache, self._older
+        new = set().union(*parted).difference(known)
+        again = new.intersection(older)
+        known.update((w, older[w]) for w in again)
+        new = list(new - again)
         fresh = dict(zip(new, self.encode_words(new)))
         long = {w: ids for w, ids in fresh.items() if len(w) > CACHE_LENGTH}
         known.update(fresh)
@@ -259,21 +263,28 @@ def decode_column(spec, ids: Column) -> Column:
     return of(ids)
 
 
-def digest_column(spec, text: Column) -> Column:
-    """Struct ``n_tokens, ids_sha256, decoded_sha256`` of each text: encoded, then decoded from its ids, in one pass."""
+def digest_column(spec, text: Column, ids: bool = False) -> Column:
+    """Struct ``n_tokens, ids_sha256, decoded_sha256`` of each whole text, and ``ids`` if asked for: encoded, then decoded from its ids, in one pass.
 
-    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    A null text is encoded as the empty one, which has no tokens; an empty table gives no rows.
+    """
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+
+    @F.arrow_udf(fields)
     def of(texts: pa.Array) -> pa.Array:
         bpe = load(spec.value)
         names = _id_names(bpe.size)
-        counts, ids_sha, text_sha = [], [], []
+        counts, ids_sha, text_sha, lists = [], [], [], [pa.array([], pa.list_(pa.int32()))]
         for block in _slices(texts):
-            for ids in bpe.encode_batch(block):
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-        arrays = [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-        return pa.StructArray.from_arrays(arrays, names=["n_tokens", "ids_sha256", "decoded_sha256"])
+            encoded = bpe.encode_batch(block)
+            for row in encoded:
+                counts.append(len(row))
+                ids_sha.append(hashlib.sha256(",".join(map(names.__getitem__, row)).encode()).hexdigest())
+                text_sha.append(hashlib.sha256(bpe.decode(row).encode("utf-8", "surrogatepass")).hexdigest())
+            if ids:
+                lists.append(pa.array(encoded, pa.list_(pa.int32())))
+        arrays = [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())] + [pa.concat_arrays(lists)] * ids
+        return pa.StructArray.from_arrays(arrays, names=["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(arrays)])
 
     return of(text)
 

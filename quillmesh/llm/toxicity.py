@@ -106,11 +106,11 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = 1 << 18, dim: int
     hundreds moves an average by a hundredth. A text's log-odds are linear in its
     words' and a word's in its n-grams', so the gradient of every vector is one
     number times the softmax difference and a step costs four sparse sums. Without
-    both classes the model answers the labels' base rate (0.5 without labels).
+    both classes the model answers the labels' base rate, 0.01 to 0.99 (0.01 without labels, as nothing speaks against any text).
     """
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
-        rate_of = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
+        rate_of = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.01
         return ToxicityModel(np.zeros(buckets, np.float32), float(np.log(rate_of / (1 - rate_of))))
     index: dict[str, int] = {}
     docs, words, shares = [], [], []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -13,14 +14,15 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.plans.lineage import broadcast_if, cut, fresh_path
+from quillmesh.plans.lineage import broadcast_if, cut, fresh_path, remove
 
 #: Fixed values of the format.
 VERSION, END = "WARC/1.1", "\r\n\r\n"
+HTTP = "application/http"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes inflated at once.
 CHUNK = 1 << 20
-INDEX_SCHEMA = "file string, offset long, length long, record_id string, record_type string"
+SIDECAR_SCHEMA = "offset long, length long, record_type string, record_id string, name string"
 RECORD_SCHEMA = "record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string"
 
 
@@ -52,27 +54,32 @@ def _urn(col: Column) -> Column:
     return F.concat(F.lit("<urn:record:"), F.coalesce(col, F.lit("")), F.lit(">"))
 
 
-def write_monolithic(rows: DataFrame, path: str) -> None:
+def write_monolithic(rows: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write ``records`` rows as gzip files of one stream each, by Spark's own text writer.
 
     Every line of a header is built by column functions; line breaks in a url are
-    escaped. A revisit has no payload; its headers keep the digest and size of the full one.
+    escaped. A response's block is an HTTP message whose body is the payload. A revisit
+    has no block; its headers keep the digest and size of the full payload. ``date`` is
+    every record's, as pages carry none; a fixed one makes reruns agree.
     """
     crlf = F.lit("\r\n")
     revisit = F.col("record_type") == "revisit"
+    size = F.col("bytes").cast("string")
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    message = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit(END))
     lines = [
         F.lit(VERSION),
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
         F.concat(F.lit("WARC-Record-ID: "), _urn(F.col("id"))),
+        F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), url),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
-        F.concat(F.lit("X-Payload-Length: "), F.col("bytes").cast("string")),
+        F.concat(F.lit("X-Payload-Length: "), size),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _urn(F.col("refers_to")), crlf, F.lit(f"WARC-Profile: {REVISIT_PROFILE}"))),
-        F.lit("Content-Type: text/html; charset=utf-8"),
-        F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))),
+        F.lit(f"Content-Type: {HTTP}; msgtype=response"),
+        F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit("0")).otherwise((F.octet_length(message) + F.col("bytes")).cast("string"))),
     ]
-    body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
+    body = F.when(revisit, F.lit("")).otherwise(F.concat(message, F.col("payload")))
     value = F.concat(F.concat_ws("\r\n", *lines), F.lit(END), body)
     rows.select(value.alias("value")).write.option("compression", "gzip").option("lineSep", END).text(path)
 
@@ -98,8 +105,30 @@ def inflate(stream) -> Iterator[bytes]:
         yield out
 
 
+def parse_headers(head: bytes) -> dict[str, str]:
+    """Headers of a record by lower-cased name: any 0.x or 1.x version, any space after the colon, folded lines joined."""
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
+    if not re.fullmatch(r"WARC/[01]\.\d+", first.strip()):
+        raise ValueError(f"no record starts with {first[:40]!r}")
+    out, name = {}, None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name is not None:
+            out[name] += " " + line.strip()
+        else:
+            name, colon, value = line.partition(":")
+            name = name.strip().lower()
+            if colon:
+                out[name] = value.strip()
+    if not out.get("content-length", "").isdigit():
+        raise ValueError("a record has no length")
+    return out
+
+
 def split_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """``(headers, whole record)`` of every record in a stream of inflated bytes; holds one record at a time."""
+    """``(headers, whole record)`` of every record in a stream of inflated bytes; holds one record at a time.
+
+    Line breaks between records may be missing or more than two; a record is given with two.
+    """
     mark, held = END.encode(), bytearray()
 
     def fill(size: int) -> bool:
@@ -111,6 +140,8 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
         return True
 
     while True:
+        while fill(1) and held[:1] in (b"\r", b"\n"):
+            del held[: len(held) - len(held.lstrip(b"\r\n"))]
         at, seen = held.find(mark), 0
         while at < 0:
             seen = max(0, len(held) - len(mark))
@@ -119,59 +150,99 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
                     raise ValueError("a record is cut off in its headers")
                 return
             at = held.find(mark, seen)
-        head = held[:at].decode("utf-8").split("\r\n")
-        if head[0] != VERSION:
-            raise ValueError(f"no record starts with {head[0][:40]!r}")
-        headers = dict(line.split(": ", 1) for line in head[1:])
-        size = at + len(mark) + int(headers["Content-Length"]) + len(mark)
+        headers = parse_headers(bytes(held[:at]))
+        size = at + len(mark) + int(headers["content-length"])
         if not fill(size):
-            raise ValueError("a record is cut off in its payload")
-        yield headers, bytes(held[:size])
+            raise ValueError("a record is cut off in its block")
+        yield headers, bytes(held[:size]) + mark
         del held[:size]
 
 
+def payload_of(headers: dict[str, str], record: bytes) -> bytes:
+    """The payload of a whole record: its block, or the body of the HTTP message that the block is."""
+    mark = END.encode()
+    at = record.index(mark) + len(mark)
+    block = record[at : at + int(headers["content-length"])]
+    if headers.get("content-type", "").lower().startswith(HTTP) and mark in block:
+        block = block[block.index(mark) + len(mark) :]
+    return block
+
+
+def _settle(store: fs.FileSystem, attempt: str, name: str) -> None:
+    """Give a whole file its name; if another attempt of the same task has done so, that one stays."""
+    try:
+        if store.get_file_info(name).type == fs.FileType.NotFound:
+            store.move(attempt, name)
+            return
+    except OSError:
+        if store.get_file_info(name).type == fs.FileType.NotFound:
+            raise
+    store.delete_file(attempt)
+
+
 def normalise(spark: SparkSession, source: str, target: str, level: int = 6) -> DataFrame:
-    """Rewrite each monolithic gzip file with a gzip member for every record, and index the members.
+    """Rewrite each monolithic gzip file under ``source`` with a gzip member for every record; returns their index.
 
     A task inflates its file once as a stream, whatever its size, and holds one
-    record. Archives and their sidecars (``.warc.gz`` and ``.warc.gz.idx``: offset,
-    length, type, id) are written under names of the attempt and renamed when whole,
-    so a task that is run again, or twice, leaves the same files. Returns the index.
+    record. An archive keeps its path below ``source``, with ``.warc.gz`` for ``.gz``
+    or ``.warc.gz``; files that would share a name are refused, as is a ``target``
+    that has archives. Archives and their sidecars (``.idx``: offset, length, type, id
+    and name) are written under names of the attempt and renamed when whole, so a task
+    that is run again, or twice, leaves the same files. The index is read from the
+    sidecars. A file that is damaged fails the run with its name.
     """
-    paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
+    root = spark._jvm.org.apache.hadoop.fs.Path(source)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(source)
+    below = F.when(F.col("path").startswith(root + "/"), F.substring("path", len(root) + 2, 1 << 20)).otherwise(F.regexp_extract("path", "[^/]*$", 0))
+    paths = cut(files.select("path", F.concat(F.regexp_replace(below, r"(\.warc)?\.gz$", ""), F.lit(".warc.gz")).alias("name")))
+    same = paths.groupBy("name").count().where("count > 1").first()
+    if same is not None:
+        raise ValueError(f"several files would be written as {same['name']}")
+    store, folder = _file_system(target)
+    store.create_dir(folder, recursive=True)
+    if any(f.base_name.endswith(".warc.gz") for f in store.get_file_info(fs.FileSelector(folder, recursive=True))):
+        raise ValueError(f"{target} has archives")
 
     def rewrite(batches):
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for path, name in zip(batch.column("path").to_pylist(), batch.column("name").to_pylist()):
                 store, at = _file_system(path)
                 out_store, folder = _file_system(target)
-                name = at.rsplit("/", 1)[-1].split(".")[0] + ".warc.gz"
-                attempt = f"{folder}/.{name}-{uuid.uuid4().hex}"
-                index, offset = [], 0
-                with store.open_input_stream(at, compression=None) as stream, out_store.open_output_stream(attempt, compression=None) as out:
-                    for headers, record in split_records(inflate(stream)):
-                        engine = zlib.compressobj(level, zlib.DEFLATED, 31)
-                        member = engine.compress(record) + engine.flush()
-                        out.write(member)
-                        index.append((offset, len(member), headers["WARC-Type"], headers["WARC-Record-ID"]))
-                        offset += len(member)
-                with out_store.open_output_stream(attempt + ".idx", compression=None) as out:
-                    out.write("".join("\t".join(map(str, row)) + "\n" for row in index).encode())
-                out_store.move(attempt, f"{folder}/{name}")
-                out_store.move(attempt + ".idx", f"{folder}/{name}.idx")
-                for low in range(0, len(index), 1 << 14):
-                    o, n, kind, rid = zip(*index[low : low + (1 << 14)])
-                    yield pa.RecordBatch.from_pydict({"file": [f"{target}/{name}"] * len(o), "offset": o, "length": n, "record_id": rid, "record_type": kind})
-
-    _file_system(target)[0].create_dir(_file_system(target)[1], recursive=True)
-    return cut(paths.repartition(max(1, paths.count()), "path").mapInArrow(rewrite, INDEX_SCHEMA))
+                parent, _, last = f"{folder}/{name}".rpartition("/")
+                out_store.create_dir(parent, recursive=True)
+                attempt = f"{parent}/.{last}-{uuid.uuid4().hex}"
+                offset = n = 0
+                try:
+                    with store.open_input_stream(at, compression=None) as stream, out_store.open_output_stream(attempt, compression=None) as out, out_store.open_output_stream(attempt + ".idx", compression=None) as side:
+                        for headers, record in split_records(inflate(stream)):
+                            engine = zlib.compressobj(level, zlib.DEFLATED, 31)
+                            member = engine.compress(record) + engine.flush()
+                            out.write(member)
+                            fields = (offset, len(member), headers.get("warc-type", ""), headers.get("warc-record-id", ""), name)
+                            side.write(("\t".join(re.sub(r"[\t\r\n]", " ", str(x)) for x in fields) + "\n").encode())
+                            offset, n = offset + len(member), n + 1
+                except (ValueError, zlib.error) as damage:
+                    raise ValueError(f"{path}: {damage}") from damage
+                _settle(out_store, attempt, f"{folder}/{name}")
+                _settle(out_store, attempt + ".idx", f"{folder}/{name}.idx")
+                yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    paths.repartition(max(1, paths.count()), "path").mapInArrow(rewrite, "n long").agg(F.sum("n")).first()
+    return read_index(spark, target)
+
+
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    """``(file, offset, length, record_type, record_id)`` of every record, from the sidecars below ``folder``."""
+    rows = spark.read.schema(SIDECAR_SCHEMA).option("sep", "\t").option("quote", "").option("pathGlobFilter", "*.idx").option("recursiveFileLookup", "true").csv(folder)
+    return rows.select(F.concat(F.lit(folder.rstrip("/") + "/"), "name").alias("file"), "offset", "length", "record_type", "record_id")
 
 
 def read_archives(index: DataFrame) -> DataFrame:
     """Read every indexed record by its offset: id, type, what it refers to, payload size and digest.
 
-    Size and digest of a response are computed from the payload read and must equal
-    its headers; those of a revisit come from its headers.
+    Size and digest come from the payload read and must equal what its headers say of them;
+    those of a revisit come from its headers.
     """
     files = index.select("file").distinct().count()
     ordered = index.repartition(max(1, files), "file").sortWithinPartitions("file", "offset")
@@ -185,13 +256,16 @@ def read_archives(index: DataFrame) -> DataFrame:
                     store, at = _file_system(file)
                     name, stream = file, store.open_input_file(at)
                 ((headers, record),) = split_records(iter([zlib.decompress(stream.read_at(length, offset), 31)]))
-                size, digest = int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                if headers["WARC-Type"] == "response":
-                    body = record[record.index(END.encode()) + len(END) : -len(END)]
-                    if (size, digest) != (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode()):
+                said = headers.get("warc-payload-digest", "")
+                size, digest = headers.get("x-payload-length"), said.removeprefix("sha1:") if said.startswith("sha1:") else None
+                if headers.get("warc-type") != "revisit":
+                    body = payload_of(headers, record)
+                    real = len(body), base64.b32encode(hashlib.sha1(body).digest()).decode()
+                    if (int(size or real[0]), digest or real[1]) != real:
                         raise ValueError(f"{file} at {offset}: the payload differs from its headers")
+                    size, digest = real
                 bare = lambda h: None if h is None else h.removeprefix("<urn:record:").removesuffix(">") or None
-                rows.append((bare(headers["WARC-Record-ID"]), headers["WARC-Type"], bare(headers.get("WARC-Refers-To")), size, digest))
+                rows.append((bare(headers.get("warc-record-id")), headers.get("warc-type"), bare(headers.get("warc-refers-to")), None if size is None else int(size), digest))
             if rows:
                 names = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
                 types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
@@ -200,14 +274,8 @@ def read_archives(index: DataFrame) -> DataFrame:
     return ordered.mapInArrow(read, RECORD_SCHEMA)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of any store that Spark reaches."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def archive(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Write ``pages`` as WARC records, normalise the files under ``folder`` and return their index.
+    """Write ``pages`` as WARC records, normalise the files under ``folder`` and return their index, read from the sidecars.
 
     ``folder`` defaults to a fresh one in the shared folder. The monolithic files are
     deleted once they are rewritten. An empty table gives an empty index.

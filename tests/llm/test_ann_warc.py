@@ -99,6 +99,50 @@ def test_archive_round_trip(spark, tmp_path):
         assert [tuple(map(int, line.split("\t")[:2])) for line in side] == rows
 
 
+FOREIGN = (
+    b"WARC/1.0\r\nWARC-Type:warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\ncontent-length:   7\r\n\r\nsoft: x\r\n\r\n"
+    b"WARC/1.0\r\nwarc-type: response\r\nWARC-Record-ID: <urn:uuid:2>\r\nX-Long: a\r\n  folded\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: 41\r\n\r\n"
+    b"HTTP/1.1 200 OK\r\nA: b\r\n\r\npage \xff\r\n\r\nmore!\n\r\n\r\n\r\n\r\n"
+    b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:3>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+)
+
+
+def test_foreign_archives_keep_their_names(spark, tmp_path):
+    for name in ("crawl.2024.01.warc.gz", "crawl.2024.02.warc.gz", "sub/crawl.2024.01.warc.gz", "plain.gz"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        half = FOREIGN.index(b"WARC/1.0", 5)
+        (tmp_path / "in" / name).write_bytes(gzip.compress(FOREIGN) if "01" in name else gzip.compress(FOREIGN[:half]) + gzip.compress(FOREIGN[half:]))
+    index = warc.normalise(spark, f"{tmp_path}/in", f"file://{tmp_path}/out")
+    rows = index.collect()
+    names = {"crawl.2024.01.warc.gz", "crawl.2024.02.warc.gz", "sub/crawl.2024.01.warc.gz", "plain.warc.gz"}
+    assert {r["file"].split("/out/")[1] for r in rows} == names == {str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.warc.gz")}
+    body = b"page \xff\r\n\r\nmore!\n"
+    want = {("<urn:uuid:1", "warcinfo", 7), ("<urn:uuid:2", "response", len(body)), ("<urn:uuid:3", "resource", 0)}
+    got = warc.read_archives(index).collect()
+    assert len(got) == 12 and {(r["record_id"], r["record_type"], r["payload_bytes"]) for r in got} == want
+    assert base64.b32encode(hashlib.sha1(body).digest()).decode() in {r["payload_digest"] for r in got}
+    with pytest.raises(ValueError, match="has archives"):
+        warc.normalise(spark, f"{tmp_path}/in", f"file://{tmp_path}/out")
+    (tmp_path / "in" / "plain.warc.gz").write_bytes(gzip.compress(FOREIGN))
+    with pytest.raises(ValueError, match="several files"):
+        warc.normalise(spark, f"{tmp_path}/in", f"file://{tmp_path}/out2")
+
+
+def test_a_task_that_runs_again_changes_nothing(tmp_path):
+    store, _ = warc._file_system(f"file://{tmp_path}")
+    for text in (b"one", b"two"):
+        (tmp_path / "attempt").write_bytes(text)
+        warc._settle(store, f"{tmp_path}/attempt", f"{tmp_path}/name")
+    assert (tmp_path / "name").read_bytes() == b"one" and not (tmp_path / "attempt").exists()
+
+
+def test_damage_is_named(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "bad.warc.gz").write_bytes(gzip.compress(FOREIGN[:-60]))
+    with pytest.raises(Exception, match="bad.warc.gz: a record is cut off"):
+        warc.normalise(spark, f"{tmp_path}/in", f"file://{tmp_path}/out")
+
+
 def test_minimum_size_and_empty_table(spark):
     pages = spark.createDataFrame(page_rows(), "page_id long, url string, html string")
     kinds = {(r["id"], r["record_type"]) for r in warc.records(pages, revisit_from_bytes=5).collect()}
@@ -111,3 +155,5 @@ def test_inflate_many_members_and_cut_records():
     assert b"".join(warc.inflate(io.BytesIO(data))) == b"abc" * 100_000 + b"xyz"
     with pytest.raises(ValueError):
         list(warc.split_records(iter([b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab"])))
+    with pytest.raises(ValueError):
+        list(warc.split_records(iter([b"GET /\r\nContent-Length: 5\r\n\r\nabcde"])))

@@ -28,7 +28,7 @@ def test_toxicity_learns_and_shares_subwords():
     clean = " ".join(["lorem", "dolor", "ametta"] * 15)
     odd = model.scores([clean + " grumblorx grumblorr", clean, None, "", "  ", "." * 5000, "x" * 20000])
     assert odd[0] > odd[1] and ((odd >= 0) & (odd <= 1)).all() and odd[2] == odd[3] == odd[4]
-    assert toxicity.train([], np.array([])).scores(["a"])[0] == pytest.approx(0.5)
+    assert toxicity.train([], np.array([])).scores(["a"])[0] == pytest.approx(0.01)
     assert toxicity.train(["a"], np.array([1])).scores(["a"])[0] > 0.9
 
 
