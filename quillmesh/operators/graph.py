@@ -153,45 +153,69 @@ def _by_slice(slice_nodes: DataFrame, edges: DataFrame):
     return slice_nodes.select("slice_id", "entity_id").groupBy("slice_id").cogroup(right.groupBy("slice"))
 
 
-def _dependencies(adjacent: list[np.ndarray], source: int) -> np.ndarray:
-    """What each node gets from the shortest paths that start at ``source``: levels out, shares back."""
-    n = len(adjacent)
-    level, paths = np.full(n, -1), np.zeros(n)
-    level[source], paths[source] = 0, 1
-    fronts = [np.array([source])]
-    while len(fronts[-1]):
-        reached = []
-        for x in fronts[-1]:
-            fresh = adjacent[x][level[adjacent[x]] < 0]
-            level[fresh] = level[x] + 1
-            reached.append(fresh)
-            paths[adjacent[x][level[adjacent[x]] == level[x] + 1]] += paths[x]
-        fronts.append(np.concatenate(reached))
-    share = np.zeros(n)
-    for front in reversed(fronts[1:]):
-        for x in front:
-            back = adjacent[x][level[adjacent[x]] == level[x] - 1]
-            share[back] += paths[back] / paths[x] * (1 + share[x])
-    share[source] = 0
-    return share
-
-
-def betweenness(slice_nodes: DataFrame, edges: DataFrame, chunks: int = 8) -> DataFrame:
-    """Exact unweighted betweenness, normalised for undirected graphs; 0 where a slice has two nodes at most.
-
-    The sources of a slice are dealt over ``chunks`` tasks; each holds the slice's
-    adjacency (nodes and edges of one slice) and adds up its sources' shares.
+def _dependencies(adjacent: list[np.ndarray], sources: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
+    """What each node gets from all shortest paths that start at ``sources``: levels out, shares back.
+
+    A block of sources runs at once, a column each: a level is one gather over the
+    arcs and one sum a node.
+    """
+    n, total = len(adjacent), np.zeros(len(adjacent))
+    degree = np.array([len(a) for a in adjacent], np.int64)
+    linked = np.flatnonzero(degree)
+    if not len(linked):
+        return total
+    targets, starts = np.concatenate([adjacent[x] for x in linked]), np.cumsum(degree[linked]) - degree[linked]
+
+    def around(values: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(values)
+        out[linked] = np.add.reduceat(values[targets], starts, axis=0)
+        return out
+
+    width = max(1, cells // len(targets))
+    for low in range(0, len(sources), width):
+        block = sources[low : low + width]
+        level, paths = np.full((n, len(block)), -1, np.int32), np.zeros((n, len(block)))
+        level[block, np.arange(len(block))], paths[block, np.arange(len(block))] = 0, 1
+        d = 0
+        while True:
+            reached = around(np.where(level == d, paths, 0))
+            fresh = (reached > 0) & (level < 0)
+            if not fresh.any():
+                break
+            d += 1
+            level[fresh], paths[fresh] = d, reached[fresh]
+        share = np.zeros_like(paths)
+        for d in range(d, 0, -1):
+            here = level == d
+            back = around(np.divide(1 + share, paths, out=np.zeros_like(paths), where=here))
+            share += np.where(level == d - 1, paths * back, 0)
+        share[block, np.arange(len(block))] = 0
+        total += share.sum(axis=1)
+    return total
+
+
+def betweenness(slice_nodes: DataFrame, edges: DataFrame, sources: int | None = None, task_work: int = 200_000_000) -> DataFrame:
+    """Unweighted betweenness, normalised for undirected graphs; 0 where a slice has two nodes at most.
+
+    Exact by default. With ``sources`` it is estimated from that many start nodes of each
+    slice, drawn with a fixed seed, and the work falls in proportion. A slice's start
+    nodes are dealt over as many tasks as its nodes times edges ask for; each holds the
+    slice's adjacency (nodes and edges of one slice) and adds up its sources' shares.
     """
-    every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    left = slice_nodes.select("slice_id", "entity_id", every.alias("chunk"))
-    right = edges.select(F.col("slice_id").alias("slice"), "u", "v", every.alias("part"))
+    sizes = slice_nodes.groupBy("slice_id").agg(F.count("*").alias("n")).join(edges.groupBy("slice_id").agg(F.count("*").alias("e")), "slice_id", "left")
+    starts = F.col("n") if sources is None else F.least("n", F.lit(sources))
+    chunks = F.greatest(F.least(F.ceil(starts * 2 * F.coalesce("e", F.lit(0)) / task_work), starts), F.lit(1)).cast("int")
+    deal = sizes.select("slice_id", chunks.alias("chunks")).select("slice_id", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    left = slice_nodes.select("slice_id", "entity_id").join(deal, "slice_id")
+    right = edges.select("slice_id", "u", "v").join(deal.select("slice_id", "chunk"), "slice_id").select(F.col("slice_id").alias("slice"), F.col("chunk").alias("part"), "u", "v")
 
     def run(key, nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        if not len(nodes):
+            return pd.DataFrame({"slice_id": [], "entity_id": [], "part": []})
         ids, adjacent = _adjacency(nodes, pairs)
-        total = np.zeros(len(ids))
-        for s in range(int(key[1]), len(ids), chunks):
-            total += _dependencies(adjacent, s)
-        n = len(ids)
+        n, deal_to = len(ids), int(nodes["chunks"].iloc[0])
+        start = np.arange(n) if sources is None or sources >= n else np.sort(np.random.default_rng(n).choice(n, sources, replace=False))
+        total = _dependencies(adjacent, start[int(key[1]) :: deal_to]) * (n / max(len(start), 1))
         return pd.DataFrame({"slice_id": key[0], "entity_id": ids, "part": total / ((n - 1) * (n - 2)) if n > 2 else 0.0})
 
     parts = left.groupBy("slice_id", "chunk").cogroup(right.groupBy("slice", "part")).applyInPandas(run, "slice_id string, entity_id string, part double")

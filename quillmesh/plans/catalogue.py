@@ -12,7 +12,7 @@ from quillmesh.functions import vectors as vx
 from quillmesh.operators import drift, embed, export, extract, graph, project, resolve, review
 from quillmesh.operators.components import connected_components
 from quillmesh.plans.lineage import cut
-from quillmesh.plans.relations import decisions, mentions, nation_trade, nations, read, trade, traders
+from quillmesh.plans.relations import decisions, mentions, read, trade, traders
 from quillmesh.schemas import CANDIDATE_PAIRS, EmbeddingConfig
 from quillmesh.sources import sinks, tables
 
@@ -20,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: Small walks, for the queries over the nation graph.
+#: Shorter and fewer walks than the default, for the queries over the trade graph.
 WALKS = EmbeddingConfig(dimensions=16, walk_length=8, num_walks=4)
 VECTOR_THRESHOLD = 0.3
 
@@ -29,11 +29,9 @@ TRADE = """WITH trade AS (
          l_returnflag AS relation_type, l_quantity AS weight, l_orderkey * 100 + l_linenumber AS seq, o_orderdate::DATE AS report_date,
          year(o_orderdate)::VARCHAR AS slice_id, o_custkey, l_suppkey
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
-NATION = (
+SLICES = (
     TRADE
-    + """, rel AS (
-  SELECT edge_id, 'N' || lpad(c_nationkey::VARCHAR, 2, '0') AS s, 'N' || lpad(s_nationkey::VARCHAR, 2, '0') AS t, weight, seq, report_date, slice_id
-  FROM trade JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON l_suppkey = s_suppkey WHERE weight >= 50),
+    + """, rel AS (SELECT * FROM trade),
 edges AS (SELECT slice_id, least(s, t) AS u, greatest(s, t) AS v, sum(weight) AS weight, arg_min(edge_id, seq) AS edge_id, arg_min(report_date, seq) AS report_date FROM rel GROUP BY 1, 2, 3),
 nodes AS (SELECT DISTINCT slice_id, unnest([s, t]) AS entity_id FROM rel),
 arcs AS (SELECT slice_id, u AS e, v AS n FROM edges UNION SELECT slice_id, v, u FROM edges),
@@ -41,7 +39,7 @@ steps AS (SELECT slice_id AS p, lead(slice_id) OVER (ORDER BY slice_id) AS c FRO
 pairs AS (SELECT p, c, a.entity_id AS e FROM steps JOIN nodes a ON a.slice_id = p JOIN nodes b ON b.slice_id = c AND b.entity_id = a.entity_id)"""
 )
 DRIFT = (
-    NATION
+    SLICES
     + """, sizes AS (SELECT slice_id, e, count(*) AS k FROM arcs GROUP BY 1, 2),
 common AS (SELECT p, c, x.e, count(*) AS k FROM steps JOIN arcs x ON x.slice_id = p JOIN arcs y ON y.slice_id = c AND y.e = x.e AND y.n = x.n GROUP BY 1, 2, 3),
 drift AS (
@@ -50,20 +48,36 @@ drift AS (
   FROM pairs LEFT JOIN sizes a ON a.slice_id = pairs.p AND a.e = pairs.e LEFT JOIN sizes b ON b.slice_id = pairs.c AND b.e = pairs.e
   LEFT JOIN common ON common.p = pairs.p AND common.c = pairs.c AND common.e = pairs.e)"""
 )
-#: Shortest paths by walks of up to twelve steps, which span any component of the nation graph.
+#: Shortest paths by levels out from every source and shares back; more levels than the trade graph has.
+LEVELS = 10
 CENTRALITY = (
-    NATION
-    + ", plain AS (SELECT * FROM arcs WHERE e <> n), w1 AS (SELECT slice_id, e AS s, n AS v, 1::DOUBLE AS k FROM plain)"
-    + "".join(f", w{d} AS (SELECT w.slice_id, w.s, a.n AS v, sum(w.k) AS k FROM w{d - 1} w JOIN plain a ON a.slice_id = w.slice_id AND a.e = w.v GROUP BY 1, 2, 3)" for d in range(2, 13))
-    + ", walks AS ("
-    + " UNION ALL ".join(f"SELECT slice_id, s, v, {d} AS d, k FROM w{d}" for d in range(1, 13))
-    + """), paths AS (SELECT slice_id, s, v, min(d) AS d, arg_min(k, d) AS k FROM walks WHERE s <> v GROUP BY 1, 2, 3),
-between_ AS (SELECT a.slice_id, a.v AS e, sum(a.k * b.k / st.k) AS x FROM paths a JOIN paths b ON b.slice_id = a.slice_id AND b.s = a.v
-  JOIN paths st ON st.slice_id = a.slice_id AND st.s = a.s AND st.v = b.v WHERE a.s < b.v AND a.d + b.d = st.d GROUP BY 1, 2),
+    SLICES
+    + ", plain AS (SELECT * FROM arcs WHERE e <> n), f0 AS MATERIALIZED (SELECT slice_id, entity_id AS s, entity_id AS v, 1::DOUBLE AS k FROM nodes)"
+    + "".join(
+        f", f{d} AS MATERIALIZED (SELECT f.slice_id, f.s, a.n AS v, sum(f.k) AS k FROM f{d - 1} f JOIN plain a ON a.slice_id = f.slice_id AND a.e = f.v"
+        + "".join(f" ANTI JOIN f{b} x{b} ON x{b}.slice_id = f.slice_id AND x{b}.s = f.s AND x{b}.v = a.n" for b in range(max(0, d - 2), d))
+        + " GROUP BY 1, 2, 3)"
+        for d in range(1, LEVELS)
+    )
+    + f", b{LEVELS - 1} AS (SELECT *, 0::DOUBLE AS dep FROM f{LEVELS - 1})"
+    + "".join(
+        f", b{d} AS MATERIALIZED (SELECT f.slice_id, f.s, f.v, f.k, coalesce(f.k * x.part, 0) AS dep FROM f{d} f LEFT JOIN (SELECT w.slice_id, w.s, a.n AS v, sum((1 + w.dep) / w.k) AS part FROM b{d + 1} w JOIN plain a ON a.slice_id = w.slice_id AND a.e = w.v GROUP BY 1, 2, 3) x ON x.slice_id = f.slice_id AND x.s = f.s AND x.v = f.v)"
+        for d in range(LEVELS - 2, 0, -1)
+    )
+    + ", between_ AS (SELECT slice_id, v AS e, sum(dep) AS x FROM ("
+    + " UNION ALL ".join(f"SELECT slice_id, v, dep FROM b{d}" for d in range(1, LEVELS))
+    + """) GROUP BY 1, 2),
 counts AS (SELECT slice_id, count(*) AS n FROM nodes GROUP BY 1),
-centrality AS (SELECT nodes.slice_id, nodes.entity_id, CASE WHEN n > 2 THEN coalesce(x, 0) * 2 / ((n - 1) * (n - 2)) ELSE 0.0 END AS betweenness
+centrality AS (SELECT nodes.slice_id, nodes.entity_id, CASE WHEN n > 2 THEN coalesce(x, 0) / ((n - 1) * (n - 2)) ELSE 0.0 END AS betweenness
   FROM nodes JOIN counts USING (slice_id) LEFT JOIN between_ ON between_.slice_id = nodes.slice_id AND between_.e = nodes.entity_id)"""
 )
+#: Components by the least label over more steps than the trade graph is wide.
+COMPONENTS = (
+    SLICES
+    + ", r0 AS (SELECT slice_id, entity_id AS x, entity_id AS c FROM nodes)"
+    + "".join(f", r{d} AS MATERIALIZED (SELECT slice_id, x, min(c) AS c FROM (SELECT * FROM r{d - 1} UNION ALL SELECT a.slice_id, a.n, r.c FROM r{d - 1} r JOIN arcs a ON a.slice_id = r.slice_id AND a.e = r.x) GROUP BY 1, 2)" for d in range(1, 17))
+    + ", comp AS (SELECT * FROM r16)"
+)
 MENTIONS = """WITH m AS (
   SELECT 'M' || lpad(vec_id::VARCHAR, 9, '0') AS id, 'D' || (vec_id % 97) AS doc_id, coalesce(p_name, '') AS form, 'T' || label AS type, [x::DOUBLE FOR x IN embedding] AS v
   FROM embeddings LEFT JOIN part ON p_partkey = vec_id),
@@ -91,14 +105,14 @@ def six(name: str, alias: str | None = None):
     return F.round(name, 6).alias(alias or name)
 
 
-def _nation_slices(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the nation graph, written once: every signal reads them, and they are far smaller than the line items."""
-    nodes, edges = graph.build_slices(nations(spark, d), nation_trade(spark, d))
+def _slices(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the graph of all customers and suppliers, written once, as every signal reads them."""
+    nodes, edges = graph.build_slices(traders(spark, d), trade(spark, d))
     return cut(nodes), cut(edges)
 
 
 def _neighbor_scores(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _nation_slices(spark, d)
+    nodes, edges = _slices(spark, d)
     steps = cut(drift.transitions(nodes))
     return drift.neighbor_drift(drift.scored_entities(nodes, steps), edges, steps).select(*drift.SCORE_KEYS, six("neighbor_drift"))
 
@@ -192,9 +206,9 @@ def max_degree(spark, d):
     return graph.max_degree(graph.raw_degree(trade(spark, d)))
 
 
-@query(NATION + " SELECT slice_id, e AS entity_id, string_agg(n, ',' ORDER BY n) AS neighbors FROM arcs GROUP BY 1, 2")
+@query(SLICES + " SELECT slice_id, e AS entity_id, string_agg(n, ',' ORDER BY n) AS neighbors FROM arcs GROUP BY 1, 2")
 def neighbour_sets(spark, d):
-    return graph.neighbours(_nation_slices(spark, d)[1]).withColumn("neighbors", F.concat_ws(",", "neighbors"))
+    return graph.neighbours(_slices(spark, d)[1]).withColumn("neighbors", F.concat_ws(",", "neighbors"))
 
 
 _TRADERS_IN = TRADE + ", x AS (SELECT DISTINCT slice_id, unnest([s, t]) AS entity_id FROM trade)"
@@ -279,7 +293,7 @@ def edge_validation(spark, d):
 
 @query(CENTRALITY + " SELECT slice_id, entity_id, round(betweenness, 6) AS betweenness FROM centrality")
 def betweenness(spark, d):
-    return graph.betweenness(*_nation_slices(spark, d)).withColumn("betweenness", F.round("betweenness", 6))
+    return graph.betweenness(*_slices(spark, d)).withColumn("betweenness", F.round("betweenness", 6))
 
 
 _CENTRALITY_DRIFT = CENTRALITY + ", moved AS (SELECT p AS slice_id_prev, c AS slice_id_curr, pairs.e AS entity_id, abs(b.betweenness - a.betweenness) AS centrality_drift FROM pairs JOIN centrality a ON a.slice_id = p AND a.entity_id = pairs.e JOIN centrality b ON b.slice_id = c AND b.entity_id = pairs.e)"
@@ -287,35 +301,35 @@ _CENTRALITY_DRIFT = CENTRALITY + ", moved AS (SELECT p AS slice_id_prev, c AS sl
 
 @query(_CENTRALITY_DRIFT + " SELECT slice_id_prev, slice_id_curr, entity_id, round(centrality_drift, 6) AS centrality_drift, centrality_drift >= 0.05 AS is_bridge FROM moved")
 def bridge_alerts(spark, d):
-    nodes, edges = _nation_slices(spark, d)
+    nodes, edges = _slices(spark, d)
     moved = drift.centrality_drift(drift.scored_entities(nodes), graph.betweenness(nodes, edges))
     return drift.bridge_alerts(moved, 0.05).withColumn("centrality_drift", F.round("centrality_drift", 6))
 
 
 @query()
 def communities(spark, d):
-    return graph.communities(*_nation_slices(spark, d))
+    return graph.communities(*_slices(spark, d))
 
 
 @query()
 def community_drift(spark, d):
-    nodes, edges = _nation_slices(spark, d)
+    nodes, edges = _slices(spark, d)
     return drift.community_drift(drift.scored_entities(nodes), graph.communities(nodes, edges))
 
 
 @query()
 def random_walks(spark, d):
-    return graph.random_walks(*_nation_slices(spark, d), WALKS)
+    return graph.random_walks(*_slices(spark, d), WALKS)
 
 
 @query()
 def node_embeddings(spark, d):
-    return graph.node_embeddings(*_nation_slices(spark, d), WALKS)
+    return graph.node_embeddings(*_slices(spark, d), WALKS)
 
 
 @query()
 def drift_scores(spark, d):
-    nodes, edges = _nation_slices(spark, d)
+    nodes, edges = _slices(spark, d)
     return drift.score_all(nodes, edges, graph.node_embeddings(nodes, edges, WALKS))
 
 
@@ -326,26 +340,20 @@ def drift_summary(spark, d):
 
 @query()
 def projected_points(spark, d):
-    nodes, edges = _nation_slices(spark, d)
+    nodes, edges = _slices(spark, d)
     scores = _neighbor_scores(spark, d).withColumnRenamed("neighbor_drift", "composite_score")
     return project.with_scores(project.project(graph.node_embeddings(nodes, edges, WALKS)), scores, nodes)
 
 
-@query(
-    NATION.replace("WITH trade", "WITH RECURSIVE trade", 1)
-    + ", reach AS (SELECT slice_id, entity_id AS x, entity_id AS y FROM nodes UNION SELECT r.slice_id, r.x, a.n FROM reach r JOIN arcs a ON a.slice_id = r.slice_id AND a.e = r.y) SELECT slice_id || x AS node, slice_id || min(y) AS component FROM reach GROUP BY slice_id, x"
-)
+@query(COMPONENTS + " SELECT slice_id || x AS node, slice_id || c AS component FROM comp")
 def components(spark, d):
-    edges = _nation_slices(spark, d)[1]
+    edges = _slices(spark, d)[1]
     return connected_components(edges.select(F.concat("slice_id", "u").alias("src"), F.concat("slice_id", "v").alias("dst")))
 
 
-@query(
-    NATION.replace("WITH trade", "WITH RECURSIVE trade", 1)
-    + ", reach AS (SELECT slice_id, entity_id AS x, entity_id AS y FROM nodes UNION SELECT r.slice_id, r.x, a.n FROM reach r JOIN arcs a ON a.slice_id = r.slice_id AND a.e = r.y), comp AS (SELECT slice_id, x, min(y) AS c FROM reach GROUP BY 1, 2), k AS (SELECT slice_id, c, count(*) AS k FROM comp GROUP BY 1, 2) SELECT slice_id, max(k) / sum(k) AS share FROM k GROUP BY 1"
-)
+@query(COMPONENTS + ", k AS (SELECT slice_id, c, count(*) AS k FROM comp GROUP BY 1, 2) SELECT slice_id, max(k) / sum(k) AS share FROM k GROUP BY 1")
 def largest_component(spark, d):
-    return graph.largest_component_share(*_nation_slices(spark, d))
+    return graph.largest_component_share(*_slices(spark, d))
 
 
 @query(TRADE + ", deg AS (SELECT unnest([s, t]) AS e, count(*) AS degree FROM trade WHERE slice_id = '1997' GROUP BY 1), names AS (SELECT 'C' || lpad(c_custkey::VARCHAR, 9, '0') AS e, c_name AS label, 'ORG' AS kind FROM customer UNION ALL SELECT 'S' || lpad(s_suppkey::VARCHAR, 9, '0'), s_name, 'VESSEL' FROM supplier) SELECT e AS entity_id, coalesce(label, e) AS label, coalesce(kind, 'ORG') AS entity_type, 0.0 AS drift, degree, round(5 + degree / (SELECT max(degree) FROM deg) * 12, 6) AS radius, degree >= 2 AS shows_label, false AS glows FROM deg LEFT JOIN names USING (e)")
@@ -354,9 +362,9 @@ def node_frame(spark, d):
     return export.node_frame(trade(spark, d), traders(spark, d), none, "1997").withColumn("radius", F.round("radius", 6))
 
 
-@query(NATION + ", x AS (SELECT slice_id, e, count(*) AS k FROM arcs GROUP BY 1, 2) SELECT e AS entity_id, count(*) AS points, min(slice_id) AS first_slice, string_agg(slice_id || ':' || k, ',' ORDER BY slice_id) AS path FROM x GROUP BY 1 HAVING count(*) >= 2")
+@query(SLICES + ", x AS (SELECT slice_id, e, count(*) AS k FROM arcs GROUP BY 1, 2) SELECT e AS entity_id, count(*) AS points, min(slice_id) AS first_slice, string_agg(slice_id || ':' || k, ',' ORDER BY slice_id) AS path FROM x GROUP BY 1 HAVING count(*) >= 2")
 def trajectories(spark, d):
-    deg = graph.neighbours(_nation_slices(spark, d)[1]).select("slice_id", "entity_id", F.size("neighbors").alias("x"), F.lit(0).alias("y"))
+    deg = graph.neighbours(_slices(spark, d)[1]).select("slice_id", "entity_id", F.size("neighbors").alias("x"), F.lit(0).alias("y"))
     lines = export.trajectories(deg)
     return lines.select("entity_id", F.size("path").cast("long").alias("points"), F.col("path")[0]["slice_id"].alias("first_slice"), F.concat_ws(",", F.transform("path", lambda p: F.concat(p["slice_id"], F.lit(":"), p["x"].cast("string")))).alias("path"))
 

@@ -37,24 +37,6 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nation_trade(spark: SparkSession, sf_dir: str, least: float = 50) -> DataFrame:
-    """Relations of at least ``least`` units, between the nations of customer and supplier."""
-    customer = F.broadcast(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"))).join(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey")
-    supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    rows = trade(spark, sf_dir).where(F.col("weight") >= least)
-    rows = rows.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    ends = {"source_entity_id": _code("N", "c_nationkey", 2), "target_entity_id": _code("N", "s_nationkey", 2)}
-    return rows.withColumns(ends).select("edge_id", "source_entity_id", "target_entity_id", "relation_type", "weight", "source_doc_id", "report_date", "seq", "slice_id")
-
-
-def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as nodes."""
-    return read(spark, sf_dir, "nation").select(
-        _code("N", "n_nationkey", 2).alias("entity_id"), F.col("n_name").alias("entity_label"), F.lit("LOCATION").alias("entity_type"),
-        F.lit("1995-01-01").cast("date").alias("first_seen"), F.lit("2001-12-31").cast("date").alias("last_seen"),
-    )
-
-
 def traders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers as nodes."""
     c = read(spark, sf_dir, "customer").select(_code("C", "c_custkey", 9).alias("entity_id"), F.col("c_name").alias("entity_label"), F.lit("ORG").alias("entity_type"), F.col("c_acctbal").alias("balance"))

@@ -115,7 +115,7 @@ def test_betweenness_equals_brute_force(spark):
         pairs = [tuple(map(int, p)) for p in rng.integers(0, n, (m, 2))]
         nodes = spark.createDataFrame([("2020", f"{i:02d}") for i in range(n)], "slice_id string, entity_id string")
         edges = spark.createDataFrame(sorted({("2020", f"{min(p):02d}", f"{max(p):02d}") for p in pairs}), "slice_id string, u string, v string")
-        got = [r["betweenness"] for r in graph.betweenness(nodes, edges, chunks=3).orderBy("entity_id").collect()]
+        got = [r["betweenness"] for r in graph.betweenness(nodes, edges, task_work=20).orderBy("entity_id").collect()]
         assert got == pytest.approx(brute_betweenness(n, pairs))
 
 
