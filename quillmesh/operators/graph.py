@@ -153,48 +153,37 @@ def _by_slice(slice_nodes: DataFrame, edges: DataFrame):
     return slice_nodes.select("slice_id", "entity_id").groupBy("slice_id").cogroup(right.groupBy("slice"))
 
 
-def _dependencies(adjacent: list[np.ndarray], sources: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
+def _dependencies(adjacent: list[np.ndarray], sources: np.ndarray) -> np.ndarray:
     """What each node gets from all shortest paths that start at ``sources``: levels out, shares back.
 
-    A block of sources runs at once, a column each: a level is one gather over the
-    arcs and one sum a node.
+    A level is a few operations over the arcs that leave it; those that lead on are kept for the way back.
     """
     n, total = len(adjacent), np.zeros(len(adjacent))
     degree = np.array([len(a) for a in adjacent], np.int64)
-    linked = np.flatnonzero(degree)
-    if not len(linked):
-        return total
-    targets, starts = np.concatenate([adjacent[x] for x in linked]), np.cumsum(degree[linked]) - degree[linked]
-
-    def around(values: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(values)
-        out[linked] = np.add.reduceat(values[targets], starts, axis=0)
-        return out
-
-    width = max(1, cells // len(targets))
-    for low in range(0, len(sources), width):
-        block = sources[low : low + width]
-        level, paths = np.full((n, len(block)), -1, np.int32), np.zeros((n, len(block)))
-        level[block, np.arange(len(block))], paths[block, np.arange(len(block))] = 0, 1
-        d = 0
-        while True:
-            reached = around(np.where(level == d, paths, 0))
-            fresh = (reached > 0) & (level < 0)
-            if not fresh.any():
-                break
-            d += 1
-            level[fresh], paths[fresh] = d, reached[fresh]
-        share = np.zeros_like(paths)
-        for d in range(d, 0, -1):
-            here = level == d
-            back = around(np.divide(1 + share, paths, out=np.zeros_like(paths), where=here))
-            share += np.where(level == d - 1, paths * back, 0)
-        share[block, np.arange(len(block))] = 0
-        total += share.sum(axis=1)
+    targets, starts = np.concatenate([*adjacent, np.zeros(0, np.int64)]), np.cumsum(degree) - degree
+    for source in sources:
+        fresh, paths = np.ones(n, bool), np.zeros(n)
+        fresh[source], paths[source] = False, 1
+        front, arcs = np.array([source]), []
+        while len(front):
+            count = degree[front]
+            ends = np.cumsum(count)
+            heads = targets[np.repeat(starts[front] - ends + count, count) + np.arange(ends[-1])]
+            on = fresh[heads]
+            heads, tails = heads[on], np.repeat(front, count)[on]
+            arcs.append((tails, heads))
+            paths += np.bincount(heads, paths[tails], n)
+            fresh[heads] = False
+            front = np.flatnonzero(np.bincount(heads, minlength=n))
+        share = np.zeros(n)
+        for tails, heads in reversed(arcs):
+            share += np.bincount(tails, paths[tails] / paths[heads] * (1 + share[heads]), n)
+        share[source] = 0
+        total += share
     return total
 
 
-def betweenness(slice_nodes: DataFrame, edges: DataFrame, sources: int | None = None, task_work: int = 200_000_000) -> DataFrame:
+def betweenness(slice_nodes: DataFrame, edges: DataFrame, sources: int | None = None, task_work: int = 100_000_000) -> DataFrame:
     """Unweighted betweenness, normalised for undirected graphs; 0 where a slice has two nodes at most.
 
     Exact by default. With ``sources`` it is estimated from that many start nodes of each
