@@ -27,7 +27,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PLAIN, _ALPHA = r"[^\x00-\x1b\x20-\x7f\u00c0-\u024f]", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 PLAIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_ALPHA}]+| ?[0-9]+| ?[^\s0-9{_ALPHA}]+|\s+(?!\S)|\s+"
 #: Words that a worker remembers before it starts afresh; longer words are not kept.
-CACHE_WORDS, CACHE_LENGTH = 200_000, 64
+CACHE_WORDS, CACHE_LENGTH = 100_000, 64
 _NEVER = np.int64(1) << 40
 
 

@@ -24,7 +24,7 @@ from quillmesh.plans.lineage import broadcast_if, cut
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_"
 LONGEST, SHORTEST = 5, 3
 #: Words whose scores a worker remembers before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
 
