@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import text as tx
 from quillmesh.functions import vectors as vx
 from quillmesh.operators.components import connected_components
+from quillmesh.plans.lineage import cut
 
 COSINE_WEIGHT, LEXICAL_WEIGHT, THRESHOLD, THRESHOLD_VERSION = 0.7, 0.3, 0.7, "v1"
 #: The sentences that explain a pair.
@@ -124,10 +125,10 @@ def build_clusters(pairs: DataFrame) -> DataFrame:
     """Connected components of the pairs not rejected, with their members and mean score.
 
     Of a repeated pair the one with the greatest candidate id counts. Every cluster
-    has two members at least.
+    has two members at least. The pairs are written once, so what makes them runs once.
     """
     active = pairs.where("status <> 'rejected'").select(F.least("mention_id_a", "mention_id_b").alias("src"), F.greatest("mention_id_a", "mention_id_b").alias("dst"), "score", "candidate_id")
-    one = active.groupBy("src", "dst").agg(F.max_by("score", "candidate_id").alias("score"))
+    one = cut(active.groupBy("src", "dst").agg(F.max_by("score", "candidate_id").alias("score")))
     found = connected_components(one)
     means = one.join(found, one.src == found.node).groupBy("component").agg(F.avg("score").alias("mean"))
     members = found.groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("member_mentions")).where(F.size("member_mentions") >= 2)

@@ -581,9 +581,9 @@ def kpi_summary(spark, d):
     return out
 
 
-@query("SELECT doc_id, CASE WHEN length(left(text, 60)) > 40 THEN left(text, 38) || '…' ELSE left(text, 60) END AS title, lang || '->' || source AS label FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) > 40 THEN left(text, 38) || '…' ELSE text END AS title, lang || '->' || source AS label FROM documents")
 def short_titles(spark, d):
-    return read(spark, d, "documents").select("doc_id", tx.short_title(F.left("text", F.lit(60))).alias("title"), tx.transition_label(F.col("lang"), F.col("source")).alias("label"))
+    return read(spark, d, "documents").select("doc_id", tx.short_title(F.col("text")).alias("title"), tx.transition_label(F.col("lang"), F.col("source")).alias("label"))
 
 
 @query("SELECT conv_id, count(*) AS turns, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY 1")
