@@ -110,10 +110,10 @@ class MultiIndex:
             if r >= 0:
                 lists = self._lists(j, code[j], r)
                 first, last = self.starts[j][lists], self.starts[j][lists + 1]
-                marks = np.zeros(len(seen) + 1, np.int32)
-                np.add.at(marks, first, 1)
-                np.add.at(marks, last, -1)
-                seen[self.rows[j][np.cumsum(marks[:-1]) > 0]] = True
+                marks = np.zeros(len(seen) + 1, np.int8)
+                marks[first] += 1  # lists are distinct and don't overlap
+                marks[last] -= 1
+                seen[self.rows[j][np.cumsum(marks[:-1], dtype=np.int8).view(bool)]] = True
         found = np.flatnonzero(seen)
         self.touched += len(found)
         return found[_distance(self.codes[found], code) <= radius]
@@ -163,7 +163,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     lengths are no neighbours. For each length codes are learned from up to ``sample``
     rows; every row is indexed. The rows are dealt evenly into shards of about
     ``shard_rows``, each a multi-index of its own, through which all queries of that
-    length stream: rows cross the exchange once, and a task holds one shard. A
+    length stream: rows cross the exchange once, and each task holds one shard. A
     shard returns ``k`` rows a query at most. A query takes all codes within the
     learned radius, or a larger one until it has ``k``, and ranks them by the
     cosine of the original vectors in double precision; ties go to the smaller id. Rows
@@ -216,7 +216,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
                     got = _best(*ready, ids, v, learned[width], k)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], names=["query_id", "id", "score"])
 
-    dealt = indexed.unionByName(asking).repartition(total, "shard").sortWithinPartitions("shard", "asks")
+    dealt = indexed.unionByName(asking).repartitionById(total, "shard").sortWithinPartitions("shard", "asks")
     found = dealt.mapInArrow(search, out)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
