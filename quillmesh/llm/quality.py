@@ -130,7 +130,8 @@ def estimate(patterns: DataFrame, names: list[str], rounds: int = 12, prior: flo
     kind that vote as in ``START`` smooth the estimates. A bad vote never speaks for
     a document, nor a good one against it, and an abstention tells nothing. Of a kind
     that only one rule sees, estimation alone takes the rule for unreliable as the
-    imagined documents fade; ``LabelModel.heard`` makes its vote count at every size.
+    imagined documents fade; ``LabelModel.heard``, an option of ``judge``, makes its
+    vote count at every size.
     """
     chance = {r: {k: dict(v) for k, v in START.items()} for r in names}
 
@@ -153,17 +154,19 @@ def estimate(patterns: DataFrame, names: list[str], rounds: int = 12, prior: flo
     return model()
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, floor: bool = True) -> DataFrame:
     """One row a document: id, measures, ``base_failed``, ``posterior`` and ``kept``.
 
     ``kept``: the base rules hold and the posterior probability of good reaches
-    ``threshold``; a single bad vote keeps it below one half. Votes are weighed on the documents that the base rules let through. Repeated rows are judged each; an empty table gives no rows.
+    ``threshold``. Without ``floor`` the learned weights alone give the posterior; with it a
+    single bad vote keeps it below one half. Votes are weighed on the documents that the base rules let through. Repeated rows are judged each; an empty table gives no rows.
     """
     measured = cut(measures(docs, id_col, text_col))
     votes = rules()
     voted = measured.withColumns({f"vote_{k}": v for k, v in votes.items()})
     names = [f"vote_{k}" for k in votes]
     patterns = cut(voted.where(~base_failed()).groupBy(*names).agg(F.count("*").alias("n")))
-    model = estimate(patterns, names).heard()
+    model = estimate(patterns, names)
+    model = model.heard() if floor else model
     out = voted.withColumn("base_failed", base_failed()).withColumn("posterior", model.posterior())
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from quillmesh.llm import quality
+from quillmesh.llm import quality, queries
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -110,3 +110,22 @@ def test_lone_kind_is_rejected_at_every_size(spark, kind, n):
     got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
     assert got[0][f"vote_{kind}"] == -1 and not any(r["base_failed"] for r in got.values())
     assert [got[i]["kept"] for i in range(n)] == [i % 100 > 8 for i in range(n)]
+
+
+def test_query_equals_sql_where_one_rule_objects(spark, tmp_path):
+    """1 % with a lone bad vote, 8 % with two: learned weights decide, in the query as in its SQL."""
+    import duckdb
+
+    def text(i):
+        plain = " ".join(f"Word{i} runs{j}." for j in range(60))
+        return plain.upper() if i % 100 == 0 else plain.replace("runs", "$$#runs") if i % 100 < 9 else plain
+
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(i, text(i)) for i in range(3000)], "doc_id long, text string").write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    got, want = queries.op6_quality_rules(spark, str(tmp_path)), con.sql(queries.ORACLES["op6_quality_rules"])
+    assert got.columns == want.columns
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(want.fetchall())
+    assert [r[-1] for r in rows] == [i % 100 == 0 or i % 100 > 8 for i in range(3000)]
