@@ -3,7 +3,8 @@
 Greedy longest match proposes the tokens of each new word. A proposal is right if and
 only if each token is its own encoding and every two neighbours are compatible: merging
 the two side by side would never cross their border. That is tested for all distinct
-neighbours of a batch at once. Only words that fail are merged exactly.
+neighbours of a batch at once. Only words that fail are merged exactly. Proposals and
+merges, too, advance in all words of a batch at once.
 """
 
 from __future__ import annotations
@@ -28,7 +29,11 @@ PLAIN, _ALPHA = r"[^\x00-\x1b\x20-\x7f\u00c0-\u024f]", "A-Za-z\u00c0-\u00d6\u00d
 PLAIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_ALPHA}]+| ?[0-9]+| ?[^\s0-9{_ALPHA}]+|\s+(?!\S)|\s+"
 #: Words that a worker remembers before it starts afresh; longer words are not kept.
 CACHE_WORDS, CACHE_LENGTH = 100_000, 64
-_NEVER = np.int64(1) << 40
+#: Words that are encoded at once, and the bytes beyond which a word is merged by itself.
+BATCH_WORDS, MERGE_BYTES = 1 << 14, 64
+#: A rank beyond all; a rank and a place share a number while words are merged.
+_NEVER, _PLACE_BITS = np.int64(1) << 30, 32
+_OVER, _PLACE = _NEVER << _PLACE_BITS, (np.int64(1) << _PLACE_BITS) - 1
 
 
 def _byte_names() -> dict[str, int]:
@@ -39,6 +44,35 @@ def _byte_names() -> dict[str, int]:
     return names
 
 
+class _Table:
+    """Hash table of arrays: looks up many keys of 0 or more at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int):
+        bits = (4 * len(keys)).bit_length() + 1
+        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
+        self._keys, self._values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, missing, np.int64)
+        at = self._slot(keys)
+        while len(keys):
+            free = self._keys[at] < 0
+            self._keys[at[free]] = keys[free]
+            put = self._keys[at] == keys
+            self._values[at[put]] = values[put]
+            keys, values, at = keys[~put], values[~put], (at[~put] + 1) & self._mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self._shift).view(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        seen, out = self._keys[at], self._values[at]
+        open_ = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(open_):
+            at[open_] = slot = (at[open_] + 1) & self._mask
+            seen, out[open_] = self._keys[slot], self._values[slot]
+            open_ = open_[(seen != keys[open_]) & (seen >= 0)]
+        return out
+
+
 class Bpe:
     """Encoder and decoder of one tokenizer file (JSON of byte-level BPE)."""
 
@@ -63,14 +97,22 @@ class Bpe:
         self.left, self.right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         at, first = np.unique(made, return_index=True)
         self.rank[at], self.left[at], self.right[at] = first, left[first], right[first]
-        keys = left * size + right
-        order = np.argsort(keys)
-        self._keys, self._ranks = keys[order], order
-        self.merges = dict(zip(keys.tolist(), range(len(keys))))
-        self.made = made.tolist()
-        self.reach: dict[bytes, int] = {}
-        for t in self.ids:
-            self.reach[t[:3]] = max(self.reach.get(t[:3], 0), len(t))
+        self.merges = dict(zip((left * size + right).tolist(), range(len(made))))
+        self._rank_of = _Table(*(np.fromiter(v, np.int64, len(self.merges)) for v in (self.merges, self.merges.values())), _NEVER)
+        self._made, self.made = made, made.tolist()
+        self._single = np.array([self.ids.get(bytes([b]), -1) for b in range(256)], np.int64)
+        # a node for each beginning of a token; node 0 is the empty one, the last stands for none
+        steps: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        for t, i in self.ids.items():
+            node = 0
+            for b in t:
+                node = steps.setdefault(node << 8 | b, len(steps) + 1)
+            ends[node] = i
+        self._step = _Table(*(np.fromiter(v, np.int64, len(steps)) for v in (steps, steps.values())), -1)
+        self._token = np.full(len(steps) + 2, -1, np.int64)
+        for node, i in ends.items():
+            self._token[node] = i
         # a token can be proposed if a merge tree makes it and its parts are compatible
         tokens = np.flatnonzero(self.rank >= 0)
         self.sound = np.zeros(size, bool)
@@ -86,9 +128,7 @@ class Bpe:
         self.checked = self.failed = 0
 
     def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a * self.size + b
-        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        return np.where(self._keys[at] == key, self._ranks[at], _NEVER) if len(self._keys) else np.full(len(key), _NEVER)
+        return self._rank_of(a * self.size + b)
 
     def compatible(self, a: np.ndarray, b: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
         """Whether BPE leaves the border between tokens ``a`` and ``b`` alone, for arrays of pairs.
@@ -116,19 +156,33 @@ class Bpe:
             x, y = np.where(back_y, x, self.right[x]), np.where(back_y, self.left[y], y)
         return ok
 
-    def propose(self, word: bytes) -> list[int]:
-        """Greedy longest match over the vocabulary; -1 where no token fits."""
-        out, at, n, ids, reach = [], 0, len(word), self.ids, self.reach
-        while at < n:
-            for end in range(min(n, at + reach.get(word[at : at + 3], 2)), at, -1):
-                t = ids.get(word[at:end])
-                if t is not None:
-                    break
-            else:
-                return [-1]
-            out.append(t)
-            at = end
-        return out
+    def propose(self, text: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match over the vocabulary, in words of a byte or more that lie in a row.
+
+        ``ends``: where the word of each byte ends; ``starts``: where the words begin. Returns
+        the token that begins at each byte (-1: none) and the places where no token fits.
+        """
+        longest, jump = np.full(len(text), -1, np.int64), np.arange(len(text))
+        begin, node, deep = jump.copy(), np.zeros(len(text), np.int64), 0
+        while len(begin):
+            node = self._step(node << 8 | text[begin + deep])
+            deep += 1
+            token = self._token[node]
+            found = begin[token >= 0]
+            longest[found], jump[found] = token[token >= 0], found + deep
+            go = (node >= 0) & (begin + deep < ends[begin])
+            begin, node = begin[go], node[go]
+        # the places that a word's first byte leads to, jumping twice as far each time
+        met, jump = np.zeros(len(text) + 1, bool), np.append(jump, len(text))
+        met[starts] = True
+        while True:
+            there = jump[np.flatnonzero(met)]
+            if met[there].all():
+                break
+            met[there] = True
+            jump = jump[jump]
+        met = met[:-1]
+        return np.where(met, longest, -1), np.flatnonzero(met & (longest < 0))
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging, the lowest rank first and leftmost first; bytes without a token are left out."""
@@ -170,23 +224,68 @@ class Bpe:
                     heapq.heappush(heap, (r, left, parts[left], parts[right]))
         return [p for p in parts if p >= 0]
 
+    def merge_all(self, text: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """``merge`` of words that lie in a row: a round joins the lowest pair of every word, the leftmost first.
+
+        ``owner``: the word of each byte. Returns the token that begins at each byte, -1 where none does.
+        """
+        out = self._single[text]
+        place = np.flatnonzero(out >= 0)
+        n = len(place)
+        if not n:
+            return out
+        parts, owner = np.append(out[place], 0), np.append(owner[place], -1)
+        starts = np.flatnonzero(np.diff(owner[:-1], prepend=-1))
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        low = np.full(n + 1, _OVER)
+
+        def rate(left: np.ndarray, right: np.ndarray) -> None:
+            rank = np.where(owner[left] == owner[right], self._pair_rank(parts[left], parts[right]), _NEVER)
+            low[left] = rank << _PLACE_BITS | np.maximum(left, 0)
+
+        rate(np.arange(n), after[:-1])
+        while True:
+            pair = np.minimum.reduceat(low[:-1], starts)
+            pair = pair[pair < _OVER]
+            if not len(pair):
+                break
+            i = pair & _PLACE
+            j = after[i]
+            parts[i], parts[j], low[j] = self._made[pair >> _PLACE_BITS], -1, _OVER
+            after[i] = beyond = after[j]
+            before[beyond] = i
+            rate(np.concatenate([before[i], i]), np.concatenate([i, beyond]))
+        out[place] = parts[:-1]
+        return out
+
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of each word: proposals where every neighbour pair is verified, exact merging elsewhere."""
+        return [ids for low in range(0, len(words), BATCH_WORDS) for ids in self._encode_words(words[low : low + BATCH_WORDS])]
+
+    def _encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        got = [self.propose(w) for w in raw]
-        length = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.int64, int(length.sum()))
-        owner = np.repeat(np.arange(len(got)), length)
-        bad = np.zeros(len(got), bool)
-        bad[owner[(flat < 0) | ~self.sound[flat]]] = True
-        inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(flat) else np.zeros(0, np.int64)
-        inner = inner[~bad[owner[inner]]]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        text, end = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64), np.cumsum(length)
+        owner = np.repeat(np.arange(len(raw)), length)
+        got, stuck = self.propose(text, end[owner], (end - length)[length > 0])
+        bad = np.zeros(len(raw), bool)
+        bad[owner[stuck]] = True
+        at = np.flatnonzero(got >= 0)
+        flat, of = got[at], owner[at]
+        bad[of[~self.sound[flat]]] = True
+        inner = np.flatnonzero((of[1:] == of[:-1]) & ~bad[of[1:]])
         pairs, back = np.unique(flat[inner] * self.size + flat[inner + 1], return_inverse=True)
-        bad[owner[inner[~self.compatible(pairs // self.size, pairs % self.size)[back]]]] = True
-        for i in np.flatnonzero(bad):
-            got[i] = self.merge(raw[i])
-        self.checked, self.failed = self.checked + len(got), self.failed + int(bad.sum())
-        return [tuple(g) for g in got]
+        bad[of[inner[~self.compatible(pairs // self.size, pairs % self.size)[back]]]] = True
+        again = np.flatnonzero((bad & (length <= MERGE_BYTES))[owner])
+        got[again] = self.merge_all(text[again], owner[again])
+        ids = got >= 0
+        many, flat = np.bincount(owner[ids], minlength=len(raw)), tuple(got[ids].tolist())
+        ends = np.cumsum(many)
+        out = [flat[a:b] for a, b in zip((ends - many).tolist(), ends.tolist())]
+        for i in np.flatnonzero(bad & (length > MERGE_BYTES)).tolist():
+            out[i] = tuple(self.merge(raw[i]))
+        self.checked, self.failed = self.checked + len(raw), self.failed + int(bad.sum())
+        return out
 
     def _find(self, text: str) -> list[str]:
         return (self._pattern if self._odd.search(text) else self._plain).findall(text)
@@ -207,10 +306,10 @@ class Bpe:
         if len(self._cache) > CACHE_WORDS:
             self._older, self._cache = self._cache, {i: (i,) for i in self.added.values()}
         known, older = self._cache, self._older
-        new = set().union(*parted).difference(known)
-        again = new.intersection(older)
-        known.update((w, older[w]) for w in again)
-        new = list(new - again)
+        met = set().union(*parted).difference(known)
+        again = {w: older[w] for w in met if w in older}
+        known.update(again)
+        new = list(met.difference(again))
         fresh = dict(zip(new, self.encode_words(new)))
         long = {w: ids for w, ids in fresh.items() if len(w) > CACHE_LENGTH}
         known.update(fresh)

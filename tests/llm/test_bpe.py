@@ -54,6 +54,48 @@ def test_long_words_merge_alike(monkeypatch):
         assert own._merge_long(list(parts)) == own.merge(word)
 
 
+def test_words_of_a_batch_merge_at_once(monkeypatch):
+    own, lib = bpe.Bpe(bpe.read_spec(PATH)), Tokenizer.from_file(PATH)
+    rng = random.Random(6)
+    words = list({"".join(rng.choice("abehinorstéç") for _ in range(rng.randrange(1, 30))) for _ in range(2000)})
+    alone = [tuple(own.merge(w.encode())) for w in words]
+    calls = []
+    monkeypatch.setattr(own, "merge", calls.append)
+    got = own.encode_words(words)
+    assert got == alone == [tuple(e.ids) for e in lib.encode_batch(words, add_special_tokens=False)]
+    assert own.failed > 500 and not calls
+
+
+def test_array_merging_equals_merge_in_any_vocabulary():
+    name = {b: c for c, b in bpe._byte_names().items()}
+    rng = random.Random(9)
+    for _ in range(100):
+        tokens, merges = [bytes([b]) for b in rng.sample(b"abcd", rng.randrange(1, 5))], []
+        for _ in range(rng.randrange(20)):
+            a, b = rng.choice(tokens), rng.choice(tokens)
+            if a + b not in tokens:
+                tokens.append(a + b)
+                merges.append((a, b))
+        rng.shuffle(merges)
+        spelled = ["".join(name[b] for b in t) for t in tokens]
+        own = bpe.Bpe({"model": {"vocab": dict(zip(spelled, range(len(spelled)))), "merges": [[spelled[tokens.index(t)] for t in m] for m in merges]}})
+        words = ["".join(rng.choice("abcd") for _ in range(rng.choice([0, 1, 2, 5, 9, 64, 65, 300]))) for _ in range(50)]
+        assert own.encode_words(words) == [tuple(own.merge(w.encode())) for w in words]
+
+
+def test_remembered_words_are_looked_up_not_passed_through(monkeypatch):
+    class Remembered(dict):
+        def __iter__(self):
+            raise AssertionError("all remembered words were visited")
+
+    own = bpe.Bpe(bpe.read_spec(PATH))
+    first = own.encode_batch(["hinting onerstha", "whesor"])
+    tried = own.checked
+    own._older, own._cache = Remembered(own._cache), {}
+    assert own.encode_batch(["hinting onerstha", "whesor", "onerly"])[:2] == first
+    assert own.checked == tried + 1
+
+
 def test_columns(spark):
     spec = queries.tokenizer_spec(spark)
     from pyspark.sql import functions as F
