@@ -164,3 +164,19 @@ def test_projection(planted, scores):
     assert points.count() == 150 and points.where("label IS NULL OR composite_score < 0").count() == 0
     assert project.project(vectors.limit(1)).select("x").first()[0] == 0.0
     assert export.trajectories(points).count() == 30
+
+
+def test_plain_slices_are_the_built_ones(spark):
+    rows = [("A", "B", "2020"), ("B", "A", "2020"), ("A", "A", "2020"), ("A", "X", "2020"), ("C", "B", "2021"), ("A", "B", "2021"), ("X", "C", "2021")]
+    relations = spark.createDataFrame(rows, "source_entity_id string, target_entity_id string, year string").select(
+        "source_entity_id", "target_entity_id", F.concat("year", F.lit("-06-15")).cast("date").alias("report_date"), F.lit(1.0).alias("weight"),
+        *[F.col("year").alias(c) for c in ("edge_id", "relation_type", "source_doc_id")],
+    )
+    nodes = spark.createDataFrame([("A",), ("B",), ("C",), ("D",)], "entity_id string")
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    want_nodes, want_edges = graph.build_slices(nodes, relations)
+    for limit in (100, 0):
+        got_nodes, got_edges = graph.plain_slices(nodes, relations, max_broadcast=limit)
+        assert plain(got_nodes) == plain(want_nodes.select("slice_id", "entity_id")) and plain(got_edges) == plain(want_edges.select("slice_id", "u", "v"))
+    got = {r["entity_id"]: r["neighbor_drift"] for r in drift.neighbor_drift(drift.scored_entities(got_nodes), got_edges).collect()}
+    assert got == pytest.approx({"A": 0.5, "B": 0.5})
