@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import text as tx
 from quillmesh.functions import vectors as vx
 from quillmesh.operators.components import connected_components
+from quillmesh.operators.pairs import near_pairs
 from quillmesh.plans.lineage import cut
 
 COSINE_WEIGHT, LEXICAL_WEIGHT, THRESHOLD, THRESHOLD_VERSION = 0.7, 0.3, 0.7, "v1"
@@ -30,20 +31,17 @@ def doc_spread(mentions: DataFrame) -> DataFrame:
 
 
 def similarity() -> dict[str, Column]:
-    """Cosine, lexical similarity and token overlap of the sides ``a`` and ``b``."""
-    both = (F.size("a.embedding") > 0) & (F.size("b.embedding") > 0)
+    """Lexical similarity and token overlap of the sides ``a`` and ``b``."""
+    either = F.size(F.array_union("a.words", "b.words"))
     return {
-        "has_vectors": F.coalesce(both, F.lit(False)),
-        "cosine": F.when(both, vx.cosine_similarity(F.col("a.embedding"), F.col("b.embedding"))).otherwise(0.0),
         "lexical": tx.levenshtein_similarity(F.col("a.normalized_form"), F.col("b.normalized_form")),
-        "overlap": tx.token_overlap(F.col("a.normalized_form"), F.col("b.normalized_form")),
+        "overlap": F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect("a.words", "b.words")) / either),
     }
 
 
 def blended() -> Column:
-    """0.7 cosine and 0.3 lexical, or lexical alone where a vector is missing; at most 1."""
-    mixed = COSINE_WEIGHT * F.col("cosine") + LEXICAL_WEIGHT * F.col("lexical")
-    return F.least(F.when(F.col("has_vectors"), mixed).otherwise(F.col("lexical")), F.lit(1.0))
+    """0.7 cosine and 0.3 lexical; at most 1."""
+    return F.least(COSINE_WEIGHT * F.col("cosine") + LEXICAL_WEIGHT * F.col("lexical"), F.lit(1.0))
 
 
 def reasons() -> Column:
@@ -51,7 +49,7 @@ def reasons() -> Column:
     say = lambda key: F.lit(REASONS[key])
     found = F.array_compact(
         F.array(
-            F.when(F.col("has_vectors") & (F.col("cosine") >= 0.9), say("strong")).when(F.col("has_vectors") & (F.col("cosine") >= 0.75), say("moderate")),
+            F.when(F.col("cosine") >= 0.9, say("strong")).when(F.col("cosine") >= 0.75, say("moderate")),
             F.when(F.lower("a.normalized_form") == F.lower("b.normalized_form"), say("exact")),
             F.when(F.col("lexical") >= 0.9, say("very_similar")).when(F.col("lexical") >= 0.7, say("similar")),
             F.when(F.col("overlap") > 0.5, say("overlap")),
@@ -62,7 +60,6 @@ def reasons() -> Column:
 
 
 def evidence() -> Column:
-    side = lambda s: tx.compact_context(F.col(f"{s}.context_left"), F.col(f"{s}.surface_form"), F.col(f"{s}.context_right"))
     return F.struct(
         *[F.col(f"{s}.extractor_{c}").alias(f"extractor_{c}_{s}") for c in ("name", "label", "confidence") for s in "ab"],
         F.round("cosine", 4).alias("embedding_similarity"),
@@ -71,12 +68,12 @@ def evidence() -> Column:
         F.col("docs_a").alias("surface_a_doc_count"),
         F.col("docs_b").alias("surface_b_doc_count"),
         F.when(F.col("a.doc_id") == F.col("b.doc_id"), 1).otherwise(2).alias("pair_doc_coverage"),
-        side("a").alias("context_a"),
-        side("b").alias("context_b"),
+        F.col("a.context").alias("context_a"),
+        F.col("b.context").alias("context_b"),
     )
 
 
-def pairs_of(mentions: DataFrame, key: str = "mention_id", block: list[str] | None = None, skip_same_doc: bool = False) -> DataFrame:
+def pairs_of(mentions: DataFrame, key: str = "mention_id", block: list[str] | None = None) -> DataFrame:
     """Every unordered pair of rows that agree on ``block`` (default: entity type), as structs ``a`` and ``b``.
 
     An equi-join on the block with the order of keys as residual condition, so the
@@ -84,29 +81,48 @@ def pairs_of(mentions: DataFrame, key: str = "mention_id", block: list[str] | No
     """
     block = block or ["entity_type"]
     a, b = (mentions.select(*[F.col(c).alias(f"__{c}") for c in block], F.struct("*").alias(s)) for s in "ab")
-    joined = a.join(b, [f"__{c}" for c in block]).where(F.col(f"a.{key}") < F.col(f"b.{key}"))
-    return (joined.where("a.doc_id <> b.doc_id") if skip_same_doc else joined).select("a", "b")
+    return a.join(b, [f"__{c}" for c in block]).where(F.col(f"a.{key}") < F.col(f"b.{key}")).select("a", "b")
 
 
-def generate_candidates(mentions: DataFrame, threshold: float = THRESHOLD, skip_same_doc: bool = False, zero_as_missing: bool = False, token_blocking: bool = False) -> DataFrame:
+def _pairs_with(rows: DataFrame, mention_id: str) -> DataFrame:
+    """The pairs that hold one mention, oriented by key: a join with its row."""
+    one = rows.where(F.col("mention_id") == mention_id).select(F.col("entity_type").alias("__type"), F.struct("*").alias("one"))
+    both = rows.select("entity_type", F.struct("*").alias("other")).join(F.broadcast(one), F.col("entity_type") == F.col("__type"))
+    both = both.where(F.col("one.mention_id") != F.col("other.mention_id"))
+    first = F.col("one.mention_id") < F.col("other.mention_id")
+    side = lambda yes, no, name: F.when(first, F.col(yes)).otherwise(F.col(no)).alias(name)
+    return both.select(side("one", "other", "a"), side("other", "one", "b"))
+
+
+def generate_candidates(mentions: DataFrame, threshold: float = THRESHOLD, skip_same_doc: bool = False, zero_as_missing: bool = False, token_blocking: bool = False, of: str | None = None) -> DataFrame:
     """Candidate pairs of embedded mentions of one type that score ``threshold`` or more.
 
     The unrounded score is compared; ids depend on the pair and the threshold's
-    version only, so reruns agree. ``token_blocking`` compares only forms that share a
-    word: cheaper on large types, but pairs without a common word are not seen.
+    version only, so reruns agree. All pairs are compared, by blocks. ``token_blocking``
+    compares only forms that share a word: cheaper on large types, but pairs without a
+    common word are not seen. ``of`` gives the pairs of one mention at the cost of its own.
     """
     rows = mentions.where(F.size("embedding") > 0)
     if zero_as_missing:
         rows = rows.where(~vx.is_missing(F.col("embedding")))
     spread = doc_spread(rows).withColumnRenamed("n_docs", "docs")
     rows = rows.join(spread, ["normalized_form", "entity_type"], "left")
+    context = tx.compact_context(F.col("context_left"), F.col("surface_form"), F.col("context_right"))
+    rows = rows.select(
+        *("mention_id", "doc_id", "entity_type", "normalized_form", "embedding", "docs", "extractor_name", "extractor_label", "extractor_confidence"),
+        tx.tokens(F.col("normalized_form")).alias("words"), context.alias("context"),
+    )
     if token_blocking:
-        keyed = rows.withColumn("word", F.explode(tx.tokens(F.col("normalized_form"))))
-        pairs = pairs_of(keyed, block=["entity_type", "word"], skip_same_doc=skip_same_doc)
-        shared = F.array_intersect(tx.tokens(F.col("a.normalized_form")), tx.tokens(F.col("b.normalized_form")))
-        pairs = pairs.where(F.col("a.word") == F.array_min(shared))
+        pairs = pairs_of(rows.withColumn("word", F.explode("words")), block=["entity_type", "word"])
+        pairs = pairs.where(F.col("a.word") == F.array_min(F.array_intersect("a.words", "b.words")))
+    elif of is not None:
+        pairs = _pairs_with(rows, of)
     else:
-        pairs = pairs_of(rows, skip_same_doc=skip_same_doc)
+        pairs = near_pairs(rows, "mention_id", threshold, form="normalized_form", weights=(COSINE_WEIGHT, LEXICAL_WEIGHT))
+    if "cosine" not in pairs.columns:
+        pairs = pairs.withColumn("cosine", vx.cosine_similarity(F.col("a.embedding"), F.col("b.embedding")))
+    if skip_same_doc:
+        pairs = pairs.where("a.doc_id <> b.doc_id")
     scored = pairs.withColumns(similarity()).withColumn("raw", blended()).where(F.col("raw") >= threshold)
     scored = scored.withColumns({"docs_a": F.coalesce("a.docs", F.lit(1)), "docs_b": F.coalesce("b.docs", F.lit(1))})
     return scored.select(

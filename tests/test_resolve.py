@@ -5,6 +5,7 @@ from quillmesh.functions import text as tx
 from quillmesh.functions import vectors as vx
 from quillmesh.operators import embed, extract, resolve, review
 from quillmesh.operators.components import connected_components
+from quillmesh.operators.pairs import near_pairs
 from quillmesh.schemas import CANDIDATE_PAIRS, MENTIONS, REVIEW_DECISIONS
 from quillmesh.sources import sinks, tables
 
@@ -144,3 +145,29 @@ def test_manifest_and_pages(spark, tmp_path):
     files = spark.createDataFrame([("d", b"one \n\x0c \n\x0cthree"), ("bad", b"\xff\xfe")], "doc_id string, content binary")
     pages = {(r["doc_id"], r["page"]): (r["text"], r["error"]) for r in tables.parse_pages(files, F.col("doc_id")).collect()}
     assert pages["d", 1] == ("one", None) and pages["d", 3] == ("three", None) and len(pages) == 3
+
+
+def test_near_pairs_are_all_pairs(spark):
+    """Blocks of five and the bound by letters lose no pair of a join of all, and cosines are the same to the bit."""
+    import random
+
+    rng = random.Random(5)
+    forms = ["", "blue ring", "blue rings", "ring blue", "hot bolt", "Kim Ch'Ol"]
+    vector = lambda i: [0.0] * 4 if i % 11 == 0 else [rng.gauss(0, 1) for _ in range(3 if i % 7 == 0 else 4)]
+    rows = [(f"m{i:02d}", "AB"[i % 3 == 0], rng.choice(forms), vector(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "mention_id string, entity_type string, form string, embedding array<double>")
+    lexical = tx.levenshtein_similarity(F.col("a.form"), F.col("b.form"))
+    for least, form in ((0.3, "form"), (0.6, "form"), (0.2, None)):
+        score = 0.7 * F.col("cosine") + 0.3 * lexical if form else F.col("cosine")
+        keep = lambda found: sorted(map(tuple, found.where(score >= least).select("a.mention_id", "b.mention_id", "cosine").collect()))  # noqa: E731, B023
+        brute = resolve.pairs_of(df).withColumn("cosine", vx.cosine_similarity(F.col("a.embedding"), F.col("b.embedding")))
+        got = keep(near_pairs(df, "mention_id", least, form=form, weights=(0.7, 0.3), block=5))
+        assert got == keep(brute) and len(got) > 50
+
+
+def test_candidates_of_one_mention(spark):
+    rows = [mention(i, f"Korea Mining {i}", [1.0, i / 10, 0.0]) for i in range(6)]
+    df = spark.createDataFrame(rows, MENTIONS)
+    plain = lambda found: sorted(map(str, found.collect()))
+    want = resolve.generate_candidates(df, 0.3).where("mention_id_a = 'm3' OR mention_id_b = 'm3'")
+    assert plain(resolve.generate_candidates(df, 0.3, of="m3")) == plain(want) and want.count() == 5
