@@ -98,6 +98,8 @@ def near_pairs(rows: DataFrame, key: str, least: float, kind: str = "entity_type
         for start in range(0, len(left), 256):
             x = left[start : start + 256]
             cosine = unit[x] @ unit[right].T
+            if sizes.min() < sizes.max():
+                cosine[sizes[x][:, None] != sizes[right]] = 0.0
             need = least if forms is None else (least - weights[1] * forms.most(x, right)) / weights[0]
             at, to = np.nonzero(~(cosine < need - SLACK))
             u, v = x[at], right[to]
