@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as tx
 from quillmesh.functions import vectors as vx
-from quillmesh.operators import embed, extract, resolve, review
+from quillmesh.operators import components, embed, extract, resolve, review
 from quillmesh.operators.components import connected_components
 from quillmesh.operators.pairs import near_pairs
 from quillmesh.schemas import CANDIDATE_PAIRS, MENTIONS, REVIEW_DECISIONS
@@ -97,6 +97,16 @@ def test_components_of_random_graphs(spark):
         assert {r["node"]: r["component"] for r in found.collect()} == label
 
 
+def test_contracted_components_leave_few_edges(spark):
+    """Runs of neighbours are united in their tasks: of 2,000 edges of 20 paths only those that tasks share are left."""
+    edges = [(f"{100 * k + i:05d}", f"{100 * k + i + 1:05d}") for k in range(20) for i in range(99)] + [("00050", "00050"), ("x", "x")]
+    df = spark.createDataFrame(edges, "b string, a string").select("a", "b")
+    rest, leaves = components._contracted(df)
+    assert rest.count() < 400 and leaves.count() > 1400
+    got = {r["node"]: r["component"] for r in connected_components(df, "a", "b", task_edges=0).collect()}
+    assert got == {x: f"{int(x) // 100 * 100:05d}" if x != "x" else "x" for e in edges for x in e}
+
+
 def test_review_round_trip(spark, tmp_path):
     log, cands = f"{tmp_path}/log", f"{tmp_path}/cands"
     spark.createDataFrame([pair("a", "b", 0.9), pair("c", "d", 0.8)], CANDIDATE_PAIRS).write.parquet(cands)
