@@ -180,3 +180,20 @@ def test_plain_slices_are_the_built_ones(spark):
         assert plain(got_nodes) == plain(want_nodes.select("slice_id", "entity_id")) and plain(got_edges) == plain(want_edges.select("slice_id", "u", "v"))
     got = {r["entity_id"]: r["neighbor_drift"] for r in drift.neighbor_drift(drift.scored_entities(got_nodes), got_edges).collect()}
     assert got == pytest.approx({"A": 0.5, "B": 0.5})
+
+
+def test_components_of_a_slice_are_tasks_of_their_own(spark):
+    """Communities and betweenness by component equal those of the whole slice, whose size still scales betweenness."""
+    rng = np.random.default_rng(7)
+    pairs = sorted({tuple(sorted((f"{b:02d}{x:02d}", f"{b:02d}{y:02d}"))) for b in range(6) for x, y in rng.integers(0, 12, (16, 2))})
+    edges = spark.createDataFrame([("1", *p) for p in pairs], "slice_id string, u string, v string")
+    names = sorted({x for p in pairs for x in p} | {"lone"})
+    nodes = spark.createDataFrame([("1", x) for x in names], "slice_id string, entity_id string")
+    at = {x: i for i, x in enumerate(names)}
+    near = [np.array(sorted({at[b] for a, b in pairs + [(y, x) for x, y in pairs] if at[a] == i and a != b}), np.int64) for i in range(len(names))]
+    label = graph._propagate(near)
+    assert {r["entity_id"]: r["community"] for r in graph.communities(nodes, edges).collect()} == {x: names[label[i]] for i, x in enumerate(names)}
+    got = [r["betweenness"] for r in graph.betweenness(nodes, edges, task_work=50).orderBy("entity_id").collect()]
+    assert got == pytest.approx(brute_betweenness(len(names), [(at[a], at[b]) for a, b in pairs]))
+    parts = graph._tied(edges, graph.slice_components(edges)).select("slice_id", "component").distinct().count()
+    assert parts >= 6
