@@ -197,3 +197,19 @@ def test_components_of_a_slice_are_tasks_of_their_own(spark):
     assert got == pytest.approx(brute_betweenness(len(names), [(at[a], at[b]) for a, b in pairs]))
     parts = graph._tied(edges, graph.slice_components(edges)).select("slice_id", "component").distinct().count()
     assert parts >= 6
+
+
+def test_walks_of_the_queries_are_whole():
+    from quillmesh.plans.catalogue import WALKS
+
+    assert WALKS == EmbeddingConfig()
+
+
+def test_walks_follow_their_weights():
+    """A triangle with a tail: from 0 by 1 the way back weighs 1/p, 2 weighs 1, and 3 weighs 1/q."""
+    starts, targets = np.array([0, 2, 5, 7, 8]), np.array([1, 2, 0, 2, 3, 0, 1, 1])
+    walks = np.concatenate(list(graph._walks(starts, targets, EmbeddingConfig(walk_length=3, num_walks=20_000, p=4.0, q=0.5), [1])))
+    assert len(walks) == 80_000 and set(walks[:, 0]) == {0, 1, 2, 3}
+    third = walks[(walks[:, 0] == 0) & (walks[:, 1] == 1), 2]
+    share = np.bincount(third, minlength=4) / len(third)
+    assert share == pytest.approx(np.array([0.25, 0, 1, 2]) / 3.25, abs=0.03)
